@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import bpe, media, packing, secrets, sharding
-from noticeflow.llm.common import table
+from noticeflow.llm import bpe, language, media, packing, quality, secrets, sharding, toxicity
+from noticeflow.llm.common import held_out, table
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +23,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,13 +37,32 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_language_id,
+    op2_media_columns,
+    op3_secret_scan,
+    op4_quality_classifier,
+    op5_best_fit_packing,
+    op6_rendezvous_sharding,
+    op8_toxicity,
+    op10_bpe_round_trip,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_media_columns, op3_secret_scan, op5_best_fit_packing, op6_rendezvous_sharding, op10_bpe_round_trip)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
+    """Empty: none of these can be written in the SQL of the driver's oracle, so tests compare them with brute force."""
     return {}
