@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from noticeflow.llm import bpe, language, media, packing, quality, secrets, sharding, toxicity
+from noticeflow.llm import bpe, jaccard, language, media, packing, quality, secrets, sharding, toxicity
 from noticeflow.llm.common import held_out, table
 
 
@@ -43,6 +43,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = (
     op5_best_fit_packing,
     op6_rendezvous_sharding,
     op8_toxicity,
+    op9_jaccard_join,
     op10_bpe_round_trip,
 )
 
