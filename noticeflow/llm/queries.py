@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from noticeflow.llm import bpe, jaccard, language, media, packing, quality, secrets, sharding, toxicity
+from noticeflow.llm import bpe, jaccard, language, media, neighbours, packing, quality, secrets, sharding, toxicity
 from noticeflow.llm.common import held_out, table
 
 
@@ -37,6 +38,10 @@ def op6_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -58,6 +63,7 @@ QUERIES = (
     op4_quality_classifier,
     op5_best_fit_packing,
     op6_rendezvous_sharding,
+    op7_nearest_neighbours,
     op8_toxicity,
     op9_jaccard_join,
     op10_bpe_round_trip,
