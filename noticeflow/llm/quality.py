@@ -18,7 +18,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from noticeflow.llm.common import map_arrow
+from noticeflow.llm.common import keep_arrow, map_arrow
 from noticeflow.llm.training import sample
 
 BITS = 16
@@ -103,38 +103,56 @@ def fit(rows: list[tuple], epochs: int = 4, rate: float = 0.5, seed: int = SEED)
     return (vectors @ out).astype(np.float32), bias
 
 
+def scorer(model):
+    """A function of texts that gives their scores."""
+    if model is None:
+        return lambda texts: [1.0] * len(texts)
+    logits, bias = model
+    difference = (logits[:, 1] - logits[:, 0]).astype(np.float64)
+    base = float(bias[1] - bias[0])
+    known: dict[str, complex] = {}  # a word's sum and the number of its rows in one number, so that one pass adds both
+
+    def score(texts):
+        bags = [words_of(x) for x in texts]
+        if len(known) > CACHED:
+            known.clear()
+        new = list({w for b in bags for w in b}.difference(known))
+        for at in range(0, len(new), 1 << 16):
+            part = new[at : at + (1 << 16)]
+            rows, n = rows_of(part)
+            known.update(zip(part, (np.add.reduceat(difference[rows], np.cumsum(n) - n) + 1j * n).tolist()))
+        totals_ = [sum(map(known.__getitem__, b), 0j) for b in bags]
+        return [1 / (1 + float(np.exp(-np.clip(base + t.real / (PRIOR + t.imag), -35, 35)))) for t in totals_]
+
+    return score
+
+
 def scores(docs: DataFrame, model, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """key, score (of label 1), predicted for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** (BITS + 1) rows of two numbers, 1 MB
 
     def make():
-        if shared.value is None:
-            return lambda cols: {key: cols[key], "score": [1.0] * len(cols[key]), "predicted": [1] * len(cols[key])}
-        logits, bias = shared.value
-        difference = (logits[:, 1] - logits[:, 0]).astype(np.float64)
-        base = float(bias[1] - bias[0])
-        known: dict[str, complex] = {}
+        score = scorer(shared.value)
 
         def apply(cols):
-            bags = [words_of(x) for x in cols[text]]
-            if len(known) > CACHED:
-                known.clear()
-            new = list({w for b in bags for w in b}.difference(known))
-            for at in range(0, len(new), 1 << 16):
-                part = new[at : at + (1 << 16)]
-                rows, n = rows_of(part)
-                sums = np.add.reduceat(difference[rows], np.cumsum(n) - n)
-                known.update(zip(part, (sums + 1j * n).tolist()))  # a sum and a count in one number, so that one pass adds both
-            out = []
-            for b in bags:
-                total = sum(map(known.__getitem__, b), 0j)
-                out.append(1 / (1 + float(np.exp(-np.clip(base + total.real / (PRIOR + total.imag), -35, 35)))))
-            return {key: cols[key], "score": out, "predicted": [int(x >= threshold) for x in out]}
+            s = score(cols[text])
+            return {key: cols[key], "score": s, "predicted": [int(x >= threshold) for x in s]}
 
         return apply
 
     return map_arrow(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, score double, predicted int", make)
 
 
+def keep(docs: DataFrame, model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are predicted to be of label 1, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = scorer(shared.value)
+        return lambda texts: [s >= threshold for s in score(texts)]
+
+    return keep_arrow(docs, text, make)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, text: str = "text", key: str = "doc_id"):
     return fit([(k, t, int(y > 0)) for k, t, y in sample(docs, labels, "quality", per_label, SEED, text, key)])

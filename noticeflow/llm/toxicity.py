@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from noticeflow.llm.common import map_arrow
+from noticeflow.llm.common import keep_arrow, map_arrow
 from noticeflow.llm.training import sample
 
 BITS = 20
@@ -79,22 +79,29 @@ def fit(rows: list[tuple], epochs: int = 6, seed: int = SEED) -> tuple[float, np
     return float(w[size]), at, w[at].astype(np.float32)
 
 
+def scorer(model):
+    """A function of texts that gives their scores."""
+    intercept, at, values = model
+    dense = np.zeros(1 << BITS, np.float32)
+    dense[at] = values
+
+    def score(text):
+        f = features(text)
+        f = np.unique(f[dense[f] != 0])
+        return 1 / (1 + float(np.exp(-np.clip(intercept + dense[f].sum(dtype=np.float64), -35, 35))))
+
+    return lambda texts: [score(x) for x in texts]
+
+
 def scores(docs: DataFrame, model, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """key, score, predicted for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 ** BITS weights, 12 MB
 
     def make():
-        intercept, at, values = shared.value
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[at] = values
-
-        def score(x):
-            f = features(x)
-            f = np.unique(f[dense[f] != 0])
-            return 1 / (1 + float(np.exp(-np.clip(intercept + dense[f].sum(dtype=np.float64), -35, 35))))
+        score = scorer(shared.value)
 
         def apply(cols):
-            s = [score(x) for x in cols[text]]
+            s = score(cols[text])
             return {key: cols[key], "score": s, "predicted": [int(x >= threshold) for x in s]}
 
         return apply
@@ -102,5 +109,16 @@ def scores(docs: DataFrame, model, text: str = "text", key: str = "doc_id", thre
     return map_arrow(docs.select(key, text), f"{key} {dict(docs.dtypes)[key]}, score double, predicted int", make)
 
 
+def keep(docs: DataFrame, model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that are not toxic, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        score = scorer(shared.value)
+        return lambda texts: [s < threshold for s in score(texts)]
+
+    return keep_arrow(docs, text, make)
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, text: str = "text", key: str = "doc_id"):
     return fit([(k, t, int(y > 0)) for k, t, y in sample(docs, labels, "toxic", per_label, SEED, text, key)])
