@@ -1,15 +1,468 @@
-"""The queries for the survey operators, over the driver's tables, and their SQL."""
+"""The queries for the survey operators, over the driver's tables, and their SQL.
+
+Each query runs an operator of the library on the table of a matching shape: events as a board, orders as dated announcements, documents as texts that repeat,
+pages as detail pages. Results are flat (no arrays or maps) so that they can be compared with the SQL of another engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noticeflow.functions import pages as P
+from noticeflow.functions import text as X
+from noticeflow.functions import urls as U
+from noticeflow.operators import components, coverage, dedup, diff, paging, report
+from noticeflow.operators import upsert as upserts
+from noticeflow.schema import ANNOUNCEMENT
+from noticeflow.sources import listings
+from noticeflow.sources.attachments import complete, stored_names
+
+AS_OF = "1998-06-01"
+SINCE = "2024-01-25"
+BOARD_PAGE = 500
+
+_found: dict[str, tuple[Callable, str | None]] = {}
+
+
+def query(sql: str | None):
+    """Register a query with its SQL."""
+
+    def add(f):
+        _found[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_of() -> Column:
+    return F.lit(AS_OF).cast("date")
+
+
+# ---------------------------------------------------------------- text and pages
+
+
+@query(r"""
+    select page_id, sha256(body) as text_hash, length(body) as n_chars from (
+      select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script[\s\S]*?</script>|<style[\s\S]*?</style>', '', 'g'), '<[^>]+>', chr(10), 'g'),
+        '\n(?:[ \t\r\f\n]*\n)+', chr(10), 'g') as body from pages)
+""")
+def strip_html_hash(spark, sf_dir):
+    body = X.join_blank_lines(X.tags_to_lines(F.col("html")))
+    return table(spark, sf_dir, "pages").select("page_id", X.body_hash(body).alias("text_hash"), F.length(body).cast("long").alias("n_chars"))
+
+
+@query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>([\s\S]*?)</title>', 1), '[ \t\r\f\n]+', ' ', 'g')) as title from pages""")
+def page_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.squeeze(F.regexp_extract("html", r"<title[^>]*>([\s\S]*?)</title>", 1)).alias("title"))
+
+
+@query(r"""
+    select page_id, cast(i - 1 as integer) as pos, links[i] as href from (
+      select page_id, links, unnest(generate_series(1, len(links))) as i from (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as links from pages))
+""")
+def page_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "href"))
+
+
+@query(r"""
+    select page_id, host, coalesce(host = 'example.org' or ends_with(host, '.example.org'), false) as allowed from (
+      select page_id, case when starts_with(lower(url), 'https://') then lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)) end as host from pages)
+""")
+def url_host_allowed(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.https_host(F.col("url")).alias("host"), U.host_allowed(F.col("url"), ["example.org"]).alias("allowed"))
+
+
+@query(r"""
+    select page_id, sha256(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+      '&middot;', chr(183)), '&copy;', chr(169)), '&quot;', '"'), '&amp;', '&'), '[ \t\r\f\n]+', ' ', 'g'))) as text_hash from pages
+""")
+def page_entities_decoded(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.body_hash(X.strip_tags_inline(F.col("html"))).alias("text_hash"))
+
+
+@query(r"""
+    select page_id, length(part) as n_chars, sha256(part) as part_hash from (
+      select page_id, case when e > 0 then substr(tail, 1, e - 1) else tail end as part from (
+        select page_id, tail, least(case when instr(tail, '</article') > 0 then instr(tail, '</article') else 2000000000 end,
+                                    case when instr(tail, '<footer') > 0 then instr(tail, '<footer') else 2000000000 end) as e
+        from (select page_id, substr(html, greatest(instr(html, '<article'), 1)) as tail from pages)))
+""")
+def body_slice(spark, sf_dir):
+    part = P.slice_between(F.col("html"), ["<article"], ["</article", r"<footer\b"])
+    return table(spark, sf_dir, "pages").select("page_id", F.length(part).cast("long").alias("n_chars"), X.body_hash(part).alias("part_hash"))
+
+
+@query(r"""select doc_id, sha256(trim(regexp_replace(text, '[ \t\r\f\v\n]+', ' ', 'g'))) as text_hash from documents""")
+def doc_norm_hash(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.body_hash(X.squeeze(F.col("text"))).alias("text_hash"))
+
+
+@query(r"""
+    select page_id, coalesce(nullif(regexp_extract(url, '/(\d+)', 1), ''), '') as number, regexp_replace(url, '[^0-9A-Za-z_]+', '_', 'g')[1:80] as file_key,
+      regexp_replace(replace(regexp_extract(url, '([^/]*)$', 1), '\', '/'), '[^\w.\-가-힣()\[\] ]', '_', 'g') as base from pages
+""")
+def page_file_names(spark, sf_dir):
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(url, r"/(\d+)", 1).alias("number"), U.file_key(url).alias("file_key"), U.base_name(url).alias("base"))
+
+
+@query("""select doc_id, lang in ('en', 'de') and contains(concat_ws(' ', lang, source, text), 'en src1') as hit from documents""")
+def keyword_filter(spark, sf_dir):
+    hit = F.col("lang").isin("en", "de") & listings.contains_word("en src1", "lang", "source", "text")
+    return table(spark, sf_dir, "documents").select("doc_id", hit.alias("hit"))
+
+
+@query(r"""select event_id, coalesce(nullif(json_extract_string(props, '$.none'), ''), nullif(json_extract_string(props, '$.k'), '')) as k from events""")
+def json_field_pick(spark, sf_dir):
+    props = F.from_json("props", "map<string,string>")
+    return table(spark, sf_dir, "events").select("event_id", X.first_filled(props["none"], props["k"]).alias("k"))
+
+
+# ---------------------------------------------------------------- dates and statuses
+
+
+@query("""
+    select o_orderkey, d as raw_date, date, case when try_cast(date as date) is null then '불명' when try_cast(date as date) >= date '1998-06-01' then '접수중' else '마감' end as status
+    from (select o_orderkey, d, case when length(d) = 8 then '20' || replace(d, '/', '-') else d end as date
+    from (select o_orderkey, case when o_orderkey % 5 = 0 then strftime(o_orderdate, '%y/%m/%d') when o_orderkey % 5 = 1 then 'n/a' else strftime(o_orderdate, '%Y-%m-%d') end as d from orders))
+""")
+def status_from_date(spark, sf_dir):
+    when, key = F.col("o_orderdate"), F.col("o_orderkey") % 5
+    raw = F.when(key == 0, F.date_format(when, "yy/MM/dd")).when(key == 1, "n/a").otherwise(F.date_format(when, "yyyy-MM-dd"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw_date")).select("o_orderkey", "raw_date", X.norm_date(F.col("raw_date")).alias("date")).withColumn("status", X.status_by_end(F.col("date"), as_of()))
+
+
+@query("""
+    select o_orderkey, case when o_orderstatus = 'F' then '마감' when o_orderpriority like '1-%' then '상시' when o_orderpriority like '2-%' then '예산소진' when o_orderpriority like '3-%' then '회차예정'
+      when cast(o_orderdate as date) >= date '1998-06-01' then '접수중' else '마감' end as status from orders
+""")
+def status_priority_chain(spark, sf_dir):
+    rank = F.substring("o_orderpriority", 1, 1)
+    code = F.when(F.col("o_orderstatus") == "F", "N").when(rank == "1", "상시모집").when(rank == "2", "예산 소진시").when(rank == "3", "예정").otherwise("")
+    end = F.date_format("o_orderdate", "yyyy-MM-dd")
+    split = F.col("o_orderkey") % 2 == 0
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.status_by_code(code, F.when(split, end), F.concat(F.lit("2020-01-01 ~ "), end), as_of()).alias("status"))
+
+
+@query("""
+    select o_orderkey, case when o_orderkey % 3 = 0 then '' else s end as start_date, case when o_orderkey % 3 = 0 then s else e end as end_date from (
+      select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as s, strftime(o_orderdate + interval 30 day, '%Y-%m-%d') as e from orders)
+""")
+def period_split(spark, sf_dir):
+    start, end = F.date_format("o_orderdate", "yyyy.MM.dd"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 30), "yyyy/M/d")
+    period = F.when(F.col("o_orderkey") % 3 == 0, start).otherwise(F.concat(start, F.lit(" ∼ "), end))
+    two = X.split_period(period)
+    return table(spark, sf_dir, "orders").select("o_orderkey", two["start"].alias("start_date"), two["end"].alias("end_date"))
+
+
+@query("""
+    select o_orderkey, case when o_orderkey % 4 = 0 then '상시' when o_orderkey % 4 = 1 then '불명' when d >= date '1998-06-01' then '접수중' else '마감' end as status,
+      case when o_orderkey % 4 in (2, 3) then strftime(d, '%Y-%m-%d') end as end_date from (select o_orderkey, cast(o_orderdate as date) as d from orders)
+""")
+def status_free_deadline(spark, sf_dir):
+    key, date = F.col("o_orderkey") % 4, F.col("o_orderdate")
+    words = F.when(key == 0, "연중 수시").when(key == 1, "예산에 따름").when(key == 2, F.concat(F.date_format(date, "yyyy년 M월 d일"), F.lit("까지"))).otherwise(F.date_format(date, "yyyy.MM.dd. '마감'"))
+    due = X.status_by_deadline(words, as_of())
+    return table(spark, sf_dir, "orders").select("o_orderkey", due["status"].alias("status"), due["end"].alias("end_date"))
+
+
+# ---------------------------------------------------------------- repeated rows, pages and coverage
+
+
+@query("""select text_hash, doc_id, source from (select sha256(text) as text_hash, doc_id, source, row_number() over (partition by sha256(text) order by doc_id) as r from documents) where r = 1""")
+def doc_dedup_keep_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(X.body_hash(F.col("text")).alias("text_hash"), "doc_id", "source")
+    return dedup.keep_first(rows, ["text_hash"], ["doc_id"])
+
+
+@query("""select sha256(text) as text_hash, min(doc_id) as doc_id, arg_max(source, doc_id) as source from documents group by 1""")
+def doc_dedup_keep_last(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(X.body_hash(F.col("text")).alias("text_hash"), "doc_id", "source")
+    return dedup.keep_last(rows, ["text_hash"], ["doc_id"])
+
+
+@query("""select source, count(*) as fetched, count(distinct sha256(text)) as collected, count(*) - count(distinct sha256(text)) as duplicates from documents group by source""")
+def coverage_by_source(spark, sf_dir):
+    return coverage.counted(table(spark, sf_dir, "documents").select("source", X.body_hash(F.col("text")).alias("key")), ["source"], "key")
+
+
+@query("""
+    select source, case when total = 0 or collected = 0 then 'failed' when fetched < total then 'partial' when fetched > collected and collected < total then 'partial' else 'success' end as outcome from (
+      select source, count(*) as fetched, count(distinct sha256(text)) as collected, count(*) + (length(source) % 2) * 3 as total from documents group by source)
+""")
+def coverage_verdict(spark, sf_dir):
+    counts = coverage_by_source(spark, sf_dir).withColumn("total", F.col("fetched") + F.length("source") % 2 * 3)
+    return counts.select("source", coverage.list_outcome(F.col("total"), F.col("fetched"), F.col("collected")).alias("outcome"))
+
+
+def board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as posts of a board with BOARD_PAGE rows a page, newest first by page number."""
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    back = F.lit(last) - F.col("event_id")
+    return events.select((F.floor(back / BOARD_PAGE) + 1).cast("int").alias("page"), (back % BOARD_PAGE).cast("int").alias("pos"), "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("posted"))
+
+
+BOARD_SQL = f"(select cast((m - event_id) // {BOARD_PAGE} + 1 as integer) as page, event_id, event_type, strftime(ts, '%Y-%m-%d') as posted from events, (select max(event_id) as m from events))"
+
+
+@query(f"select page, count(*) as parsed, count(*) as fresh, coalesce(bool_and(posted < '{SINCE}'), false) as old from {BOARD_SQL} group by page")
+def board_pages(spark, sf_dir):
+    return paging.page_facts(board(spark, sf_dir), ["event_id"], F.col("posted"), SINCE)
+
+
+@query(f"""
+    select event_id, page, posted from {BOARD_SQL} where page <= coalesce((select min(page) from (select page from {BOARD_SQL} group by page having bool_and(posted < '{SINCE}'))), 2000000000)
+""")
+def since_cutoff(spark, sf_dir):
+    rows = board(spark, sf_dir)
+    return paging.until_stop(rows, ["event_id"], F.col("posted"), SINCE).select("event_id", "page", "posted")
+
+
+@query(f"""
+    select page, count(*) as parsed from (select * from {BOARD_SQL} where event_type = 'error' or page % 2 = 0) group by page
+    having page < (select max(page) from {BOARD_SQL} where event_type = 'error' or page % 2 = 0) and count(*) < {BOARD_PAGE} / 2
+""")
+def page_row_floor(spark, sf_dir):
+    rows = board(spark, sf_dir).where("event_type = 'error' or page % 2 = 0")
+    return paging.thin_pages(paging.page_facts(rows, ["event_id"]), BOARD_PAGE).select("page", "parsed")
+
+
+# ---------------------------------------------------------------- details
+
+
+def order_listing(spark: SparkSession, sf_dir: str, keep: Column | None = None) -> DataFrame:
+    """Orders as announcements, with their priority as source."""
+    orders = table(spark, sf_dir, "orders")
+    if keep is not None:
+        orders = orders.where(keep)
+    key = F.col("o_orderkey").cast("string")
+    own = {
+        "source": F.col("o_orderpriority"),
+        "source_id": key,
+        "title": F.concat(F.lit("order "), key),
+        "status": F.col("o_orderstatus"),
+        "apply_end": F.date_format("o_orderdate", "yyyy-MM-dd"),
+        "agency": F.concat(F.lit("customer "), F.col("o_custkey").cast("string")),
+        "raw": F.create_map(F.lit("pbancGubun"), F.col("o_orderstatus")),
+    }
+    return orders.select(*listings.record(**own))
+
+
+def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every third order as the attachments of its detail."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    digest = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))
+    status = F.when(F.col("l_returnflag") == "R", "failed").otherwise("ok")
+    files = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(digest.alias("sha256"), status.alias("extract_status"))).alias("files"))
+    body = F.concat(F.lit("order "), F.col("l_orderkey").cast("string"))
+    return files.select(
+        F.col("l_orderkey").cast("string").alias("source_id"),
+        X.body_and_files_hash(body, F.transform("files", lambda f: f["sha256"])).alias("content_hash"),
+        complete(F.col("files")).alias("attachments_complete"),
+        F.size("files").cast("long").alias("n_files"),
+    )
+
+
+LINES_SQL = """(select cast(l_orderkey as varchar) as source_id,
+  sha256('order ' || l_orderkey || chr(10) || array_to_string(list_sort(list(l_partkey || '-' || l_linenumber)), chr(10))) as content_hash,
+  bool_and(l_returnflag <> 'R') as attachments_complete, count(*) as n_files from lineitem where l_orderkey % 3 = 0 group by l_orderkey)"""
+
+
+@query(f"select source_id, attachments_complete, n_files from {LINES_SQL}")
+def attachments_complete(spark, sf_dir):
+    return line_details(spark, sf_dir).select("source_id", "attachments_complete", "n_files")
+
+
+@query(f"select source_id, content_hash from {LINES_SQL}")
+def attachment_hash_sorted(spark, sf_dir):
+    return line_details(spark, sf_dir).select("source_id", "content_hash")
+
+
+@query(f"""
+    select o_orderpriority as source, o.o_orderkey as source_id, d.content_hash, cast(case when d.content_hash is not null then 2 end as integer) as hash_version, coalesce(d.attachments_complete, false) as attachments_complete
+    from (select o_orderpriority, o_orderstatus, cast(o_orderkey as varchar) as o_orderkey from orders) o left join {LINES_SQL} d on d.source_id = o.o_orderkey and o.o_orderstatus <> 'P'
+""")
+def detail_upsert(spark, sf_dir):
+    listing = order_listing(spark, sf_dir).withColumn("source", F.lit("sbiz24")).withColumn("primary_type", F.col("raw")["pbancGubun"])
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source_id"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") == "P", "-").otherwise(F.col("o_orderstatus")).alias("namespace"))
+    details = line_details(spark, sf_dir).join(own, "source_id").withColumn("source", F.lit("sbiz24"))
+    merged = upserts.upsert(listing, details)
+    return merged.join(own, "source_id").select(F.col("priority").alias("source"), "source_id", "content_hash", "hash_version", "attachments_complete")
+
+
+@query("""select distinct cast(l_orderkey as varchar) as source_id from lineitem where l_orderkey % 3 = 0 and l_orderkey not in (select o_orderkey from orders where o_orderkey % 2 = 0)""")
+def upsert_unmatched(spark, sf_dir):
+    listing = order_listing(spark, sf_dir, F.col("o_orderkey") % 2 == 0).withColumn("source", F.lit("s"))
+    return upserts.unmatched(listing, line_details(spark, sf_dir).withColumn("source", F.lit("s"))).select("source_id")
+
+
+@query("""
+    select source, left(text, 12) as name, text_hash, case when n = 1 then left(text, 12) else left(text, 12) || '-' || (n - 1) end as stored_name from (
+      select source, any_value(text) as text, sha256(text) as text_hash, row_number() over (partition by source, left(any_value(text), 12) order by min(doc_id), sha256(text)) as n from documents group by source, sha256(text))
+""")
+def no_clobber_suffix(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select("source", F.regexp_replace(F.substring("text", 1, 12), r"\.", "․").alias("name"), X.body_hash(F.col("text")).alias("text_hash"), "doc_id")
+    named = stored_names(files, "source", "name", "text_hash", "doc_id").select("source", "name", "text_hash", "stored_name").distinct()
+    return named.select("source", *(F.regexp_replace(c, "․", ".").alias(c) for c in ("name",)), "text_hash", F.regexp_replace("stored_name", "․", ".").alias("stored_name"))
+
+
+# ---------------------------------------------------------------- snapshots
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two surveys of the orders: some rows are only in one, and some differ in fields, hash or hash version."""
+    key = F.col("source_id").cast("long")
+    hashed = F.sha2(F.col("title"), 256)
+    old = order_listing(spark, sf_dir, F.col("o_orderkey") % 11 != 0).withColumn("content_hash", F.when(key % 3 != 0, hashed)).withColumn("hash_version", F.when(key % 3 != 0, F.when(key % 29 == 0, 1).otherwise(2)))
+    new = order_listing(spark, sf_dir, (F.col("o_orderkey") % 13 != 0) & (F.col("o_orderpriority") != "5-LOW"))
+    new = new.withColumn("status", F.when(key % 17 == 0, "X").otherwise(F.col("status"))).withColumn("apply_end", F.when(key % 19 == 0, "2000-01-01").otherwise(F.col("apply_end")))
+    new = new.withColumn("content_hash", F.when(key % 7 == 0, None).when(key % 23 == 0, F.sha2(F.lit("new"), 256)).otherwise(hashed)).withColumn("hash_version", F.when(F.col("content_hash").isNotNull(), 2))
+    return old, new.withColumn("apply_start", F.lit("")).select(*ANNOUNCEMENT.names)
+
+
+SNAPSHOT_SQL = """(
+  with base as (select o_orderpriority as source, o_orderkey as k, o_orderstatus as status, strftime(o_orderdate, '%Y-%m-%d') as apply_end, sha256('order ' || o_orderkey) as h from orders),
+  o as (select source, k, status, apply_end, case when k % 3 <> 0 then h end as h, case when k % 3 <> 0 then case when k % 29 = 0 then 1 else 2 end end as v from base where k % 11 <> 0),
+  n as (select source, k, case when k % 17 = 0 then 'X' else status end as status, case when k % 19 = 0 then '2000-01-01' else apply_end end as apply_end,
+    case when k % 7 = 0 then null when k % 23 = 0 then sha256('new') else h end as h, case when k % 7 <> 0 then 2 end as v from base where k % 13 <> 0 and source <> '5-LOW'),
+  j as (select coalesce(o.source, n.source) as source, coalesce(o.k, n.k) as k, o.k is null as fresh, n.k is null as missing, o.h as oh, n.h as nh, o.v as ov, n.v as nv,
+    list_filter([case when o.status is distinct from n.status then 'status' end, case when o.apply_end is distinct from n.apply_end then 'apply_end' end,
+      case when o.h is not null and n.h is not null and o.v is not distinct from n.v and o.h <> n.h then 'content_hash' end], lambda x: x is not null) as f
+    from o full outer join n on o.source = n.source and o.k = n.k)
+  select source, cast(k as varchar) as source_id, case when missing then 'GONE' when fresh then 'NEW' when len(f) > 0 or (oh is not null and nh is not null and ov is distinct from nv) then 'CHANGED'
+    when oh is not null and nh is null then 'NEEDS_REHASH' else 'UNCHANGED' end as kind,
+    case when missing or fresh then '' when len(f) > 0 then array_to_string(f, ',') when oh is not null and nh is not null and ov is distinct from nv then 'hash_version(산식 전환 — 1회 상세 재검증)' else '' end as fields
+  from j where not missing or source in (select source from n))"""
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.compare(*snapshots(spark, sf_dir))
+
+
+@query(f"select source, source_id, kind from {SNAPSHOT_SQL}")
+def survey_diff(spark, sf_dir):
+    return compared(spark, sf_dir).select("source", "source_id", "kind")
+
+
+@query(f"select source, source_id, fields from {SNAPSHOT_SQL} where kind = 'CHANGED'")
+def survey_diff_changed_fields(spark, sf_dir):
+    return compared(spark, sf_dir).where("kind = 'CHANGED'").select("source", "source_id", F.array_join("changed_fields", ",").alias("fields"))
+
+
+@query(f"""select k.kind, coalesce(n, 0) as n from (values ('NEW'), ('CHANGED'), ('NEEDS_REHASH'), ('UNCHANGED'), ('GONE')) k(kind) left join (select kind, count(*) as n from {SNAPSHOT_SQL} group by kind) c on c.kind = k.kind""")
+def survey_diff_summary(spark, sf_dir):
+    return diff.summary(compared(spark, sf_dir))
+
+
+@query("""
+    select doc_id, case when h = 1 and n = 1 and ov <> nv then 'CHANGED' when h = 1 and n = 1 and doc_id % 10 = 0 then 'CHANGED' when h = 1 and n = 0 then 'NEEDS_REHASH' else 'UNCHANGED' end as kind from (
+      select doc_id, case when doc_id % 4 = 0 then 0 else 1 end as h, case when doc_id % 3 = 0 then 0 else 1 end as n, case when doc_id % 5 = 0 then 1 else 2 end as ov, 2 as nv from documents)
+""")
+def survey_diff_hash_version(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", X.body_hash(F.col("text")).alias("h"))
+    key = F.col("doc_id")
+
+    def side(digest: Column, version: Column) -> DataFrame:
+        return docs.select(*listings.record(source=F.col("source"), source_id=key.cast("string"), title="t", content_hash=digest, hash_version=F.when(digest.isNotNull(), version)))
+
+    old = side(F.when(key % 4 != 0, F.col("h")), F.when(key % 5 == 0, 1).otherwise(2))
+    new = side(F.when(key % 3 != 0, F.when(key % 10 == 0, F.sha2(F.col("h"), 256)).otherwise(F.col("h"))), F.lit(2))
+    return diff.compare(old, new).select(F.col("source_id").cast("long").alias("doc_id"), "kind")
+
+
+@query(f"select source, source_id from {SNAPSHOT_SQL} where kind = 'GONE' and source not in ('1-URGENT', '2-HIGH')")
+def gone_incremental_filter(spark, sf_dir):
+    return diff.gone(diff.compare(*snapshots(spark, sf_dir), incremental=["1-URGENT", "2-HIGH"])).select("record.source", "record.source_id")
+
+
+@query("""select distinct o_orderpriority as source from orders where o_orderkey % 11 <> 0 and o_orderpriority not in (select o_orderpriority from orders where o_orderkey % 13 <> 0 and o_orderpriority <> '5-LOW')""")
+def missing_sources(spark, sf_dir):
+    return diff.missing_sources(*snapshots(spark, sf_dir))
+
+
+@query(f"""select source, source_id, 1 = cast(source_id as bigint) % 2 as recheck from {SNAPSHOT_SQL} where kind = 'UNCHANGED' and cast(source_id as bigint) % 4 <> 0""")
+def carry_over(spark, sf_dir):
+    key = F.col("source_id").cast("long")
+    verdicts = order_listing(spark, sf_dir, F.col("o_orderkey") % 4 != 0).select("source", "source_id", F.when(key % 2 == 1, "loan").otherwise("grant").alias("primary_type"), F.lit("조건부").alias("verdict"))
+    return diff.carried_over(compared(spark, sf_dir), verdicts).select("source", "source_id", "recheck")
+
+
+# ---------------------------------------------------------------- reports
+
+
+def collected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("doc_id") % 2 == 0, X.body_hash(F.col("text")))
+    return table(spark, sf_dir, "documents").select(*listings.record(source=F.col("source"), source_id=F.col("doc_id").cast("string"), content_hash=digest, attachments_complete=F.col("doc_id") % 3 == 0, status=F.lit("접수중")))
+
+
+def screened_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "candidate").otherwise("excluded").alias("screening"))
+    return docs.join(labels, "doc_id").select("source", F.col("doc_id").cast("string").alias("source_id"), "screening")
+
+
+@query("""select source, cast(doc_id as varchar) as source_id from documents where doc_id not in (select doc_id from labels)""")
+def screening_gap(spark, sf_dir):
+    return report.screening_gap(collected_documents(spark, sf_dir), screened_documents(spark, sf_dir))
+
+
+@query("""
+    select source, 'success' as collection_status, case when count(*) = count(l.doc_id) then 'success' else 'partial' end as screening_status, count(*) as collected, count(l.doc_id) as screened,
+      count(*) filter (where l.quality = 1) as candidate, count(*) filter (where l.quality = 1 and d.doc_id % 2 = 0) as detail_verified from documents d left join labels l on l.doc_id = d.doc_id group by source
+""")
+def manifest(spark, sf_dir):
+    outcomes = table(spark, sf_dir, "documents").select("source").distinct().withColumn("collection_status", F.lit(coverage.SUCCESS))
+    return report.manifest(collected_documents(spark, sf_dir), screened_documents(spark, sf_dir), outcomes)
+
+
+@query("""
+    select d.source, cast(d.doc_id as varchar) as source_id, r.rule from documents d join labels l on l.doc_id = d.doc_id
+      join (values ('known verdict'), ('unread attachment')) r(rule) on (r.rule = 'known verdict' and l.quality = 0) or (r.rule = 'unread attachment' and l.quality = 1 and l.toxic = 0 and d.doc_id % 3 <> 0)
+""")
+def verdict_violations(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    verdict = F.when(F.col("quality") == 0, "maybe").when(F.col("toxic") == 1, "조건부").otherwise("확인됨")
+    verdicts = docs.join(labels, "doc_id").select("source", F.col("doc_id").cast("string").alias("source_id"), verdict.alias("verdict"))
+    return report.verdict_errors(collected_documents(spark, sf_dir), verdicts)
+
+
+@query("""
+    select cast(o_orderkey as varchar) as source_id, case when o_orderkey % 6 = 5 then 'conditional' else 'deadlines' end as section,
+      cast(case when o_orderkey % 4 = 0 then 0 when o_orderkey % 4 = 1 then 1 when o_orderkey % 4 = 2 then 2 else 3 end as integer) as rank,
+      case when o_orderkey % 4 = 0 then cast(date_diff('day', date '1998-06-01', cast(o_orderdate as date)) as integer) end as days_left from orders
+""")
+def report_order(spark, sf_dir):
+    key = F.col("o_orderkey")
+    status = F.when(key % 4 == 0, X.OPEN).when(key % 4 == 1, X.SPENT).when(key % 4 == 2, X.ALWAYS).otherwise(X.PLANNED)
+    rows = table(spark, sf_dir, "orders").select(F.lit("s").alias("source"), key.cast("string").alias("source_id"), status.alias("status"), F.when(key % 4 == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("apply_end"), F.when(key % 6 == 5, 1).otherwise(0).alias("open_conditions"))
+    return report.ordered(report.deadline_list(rows, as_of(), "open_conditions")).select("source_id", "section", "rank", "days_left")
+
+
+@query("""
+    with recursive d as (select doc_id, 'a' || sha256(text) as a, 'b' || source || '/' || (n_chars // 40) as b from documents where n_chars < 400),
+    e as (select x.doc_id as u, y.m as v from d x join (select a, min(doc_id) as m from d group by a) y on x.a = y.a union select x.doc_id, y.m from d x join (select b, min(doc_id) as m from d group by b) y on x.b = y.b),
+    s as (select u, v from e union select v, u from e),
+    r(u, v) as (select doc_id, doc_id from d union select r.u, s.v from r join s on s.u = r.v)
+    select u as doc_id, min(v) as component from r group by u
+""")
+def same_program_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("n_chars < 400")
+    rows = docs.select("doc_id", X.body_hash(F.col("text")).alias("text_key"), F.concat_ws("/", "source", F.floor(F.col("n_chars") / 40).cast("string")).alias("place_key"))
+    return components.groups_by_keys(rows, "doc_id", ["text_key", "place_key"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql.strip() for name, (_, sql) in _found.items() if sql}
