@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from noticeflow.storage import materialise, shared_dir, work_dir  # noqa: F401 - operators take them from here
+
 #: Documents with crc32(doc_id as text) mod FOLDS = HELD_OUT are kept back from training.
 FOLDS = 5
 HELD_OUT = 0
@@ -75,28 +77,3 @@ def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, s
     starts = salted.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1
     return salted.withColumn("__own", own).join(starts, keys).withColumn(name, F.col("__start") + F.col("__own")).drop("__salt", "__own", "__start")
-
-
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder, for intermediate tables."""
-    import uuid
-
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (as in tests), a temporary folder of this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: it is computed once, and its lineage ends."""
-    path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,9 +2,9 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
-from noticeflow.llm import graph, jaccard
+from noticeflow.llm import jaccard
+from noticeflow.operators.components import components
 
 
 def brute(rows):
@@ -112,5 +112,5 @@ def test_components(spark):
     for a, b in edges:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
