@@ -11,15 +11,17 @@ from noticeflow.storage import materialise
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of edges (a, b); loops and repeated edges don't matter, nulls must not occur.
 
-    Each round sends every node's neighbours to the smallest one it knows. The edge list never grows beyond twice its size, a star's centre isn't gathered
-    anywhere (minima are pre-aggregated, and the joins are plain equi-joins that Spark can split), and rounds end when all edges lead to a smallest node.
+    Each round sends every node's neighbours to the smallest one it knows. The edge list never grows beyond twice its size, and rounds end when all edges lead to
+    a smallest node. Minima are pre-aggregated and written before they are joined: a plain equi-join of written tables can be split where a node has very many
+    edges, while one that shares the aggregate's shuffle can't.
     """
     pairs = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
     while True:
         both = pairs.select("v", "m").union(pairs.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least"))
+        least = materialise(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least")), "least")
         large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("least").alias("m")).distinct()
-        least = large.groupBy("v").agg(F.min("m").alias("least"))
+        large = materialise(large, "edges")
+        least = materialise(large.groupBy("v").agg(F.min("m").alias("least")), "least")
         joined = large.join(least, "v")
         small = joined.select("v", F.col("least").alias("m")).union(joined.where("m <> least").select(F.col("m").alias("v"), F.col("least").alias("m"))).distinct()
         pairs = materialise(small, "edges")
