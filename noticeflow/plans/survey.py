@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow import schema as S
-from noticeflow.functions import identity, urls
+from noticeflow.functions import identity, links, urls
 from noticeflow.functions import pages as P
 from noticeflow.functions import text as X
 from noticeflow.operators import coverage as C
@@ -113,9 +113,9 @@ def gov24(spark: SparkSession, path: str, as_of: Column, crawled_at: Column, nee
 def portal_details(pages: DataFrame) -> DataFrame:
     """Details of the portal's pages (source_id, body): pages that aren't of the requested announcement are refused, with attachments as links."""
     own = identity.is_page_of(F.col("body"), "bizinfo", F.col("source_id"))
-    links = P.portal_links(F.col("body"), L.BIZINFO)
+    found = P.portal_links(F.col("body"), L.BIZINFO)
     text = P.portal_body(F.col("body"))
-    rows = pages.select("source_id", own.alias("accepted"), text.alias("text"), links.alias("links"))
+    rows = pages.select("source_id", own.alias("accepted"), text.alias("text"), found.alias("links"))
     return rows.select(F.lit("bizinfo").alias("source"), "source_id", "accepted", "text", "links", X.body_hash(F.col("text")).alias("content_hash"), F.lit(BODY_VERSION).alias("hash_version"), (F.size("links") == 0).alias("attachments_complete"))
 
 
@@ -123,8 +123,8 @@ def board_details(pages: DataFrame, source: str) -> DataFrame:
     """As portal_details(), for a board; ids are compared by their number."""
     number = F.regexp_extract("source_id", r"^\w+-0*(\d+)$", 1)
     own = identity.is_page_of(F.col("body"), source, number)
-    rows = pages.select("source_id", own.alias("accepted"), P.board_body(F.col("body"), source).alias("text"))
-    return rows.select(F.lit(source).alias("source"), "source_id", "accepted", "text", X.body_hash(F.col("text")).alias("content_hash"), F.lit(BODY_VERSION).alias("hash_version"))
+    rows = pages.select("source_id", own.alias("accepted"), P.board_body(F.col("body"), source).alias("text"), links.board_links(F.col("body"), source, number).alias("links"))
+    return rows.select(F.lit(source).alias("source"), "source_id", "accepted", "text", "links", (F.size("links") == 0).alias("attachments_complete"), X.body_hash(F.col("text")).alias("content_hash"), F.lit(BODY_VERSION).alias("hash_version"))
 
 
 def with_attachments(details: DataFrame, attachments: DataFrame, portal: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from noticeflow.functions import identity, pages, text, urls
+from noticeflow.functions import identity, links, pages, text, urls
 from noticeflow.sources import attachments as A
 
 
@@ -193,3 +193,12 @@ def test_files(spark, tmp_path):
     df = spark.createDataFrame([("d", "공고.hwp", "h1", 1), ("d", "공고.hwp", "h2", 2), ("d", "공고.hwp", "h1", 3), ("e", "공고.hwp", "h3", 1), ("d", "n", "a", 1), ("d", "n", "b", 5)], "folder string, name string, h string, t int")
     got = sorted((r.folder, r.t, r.stored_name) for r in A.stored_names(df, "folder", "name", "h", "t").collect())
     assert got == [("d", 1, "n"), ("d", 1, "공고.hwp"), ("d", 2, "공고-1.hwp"), ("d", 3, "공고.hwp"), ("d", 5, "n-1"), ("e", 1, "공고.hwp")]
+
+
+def test_board_links(apply):
+    link = "https://fanfandaero.kr/download.do?fileName=/a/b/x1.hwp"
+    page = f'<a href="{link}">f</a><a href="{link}">f</a> view("fileName=/a/b/x1.hwp&x=1", "2", "공고 &amp; 안내.hwp") <a href="{link}2">'
+    assert links.fanfan_links(page) == [(link, "공고 & 안내.hwp"), (link + "2", "x1.hwp2")]
+    board = """<a onclick="common.download(1, 'ab-1')"><span class="e">붙임%201.hwp</span></a><a onclick="common.download(1,'cd-2')"><img alt=""> 둘.pdf</a><a onclick="common.download(1, 'ab-1')">"""
+    got = apply(lambda c: links.board_links(c, "seoulshinbo", F.lit("12")), board, None)
+    assert [[x.filename for x in r] for r in got] == [["붙임 1.hwp", "둘.pdf"], []] and got[0][0].url.endswith("/download/12/ab-1.do?mng_cd=STRY9788")

@@ -251,7 +251,8 @@ def test_detail_pages(record, spark, tmp_path):
     merged = {r.source_id: r.content_hash for r in survey.merge(listing, details).collect()}
     assert merged == {"PBLN_1": rows["PBLN_1"].content_hash, "PBLN_2": None}
     board = spark.createDataFrame([("ntc-12", '<link rel="canonical" href="/bbs/view/12.do"><div class="sub_cont_wrap">본문</div>')], "source_id string, body string")
-    assert survey.board_details(board, "seoulshinbo").first().accepted
+    detail = survey.board_details(board, "seoulshinbo").first()
+    assert detail.accepted and detail.links == [] and detail.attachments_complete
     sinks.write_details(details.withColumn("url", F.lit("u")).withColumn("attachments", F.col("links")).withColumnRenamed("text", "body"), str(tmp_path / "d"))
     assert "CONTENT_HASH" in spark.read.parquet(str(tmp_path / "d")).first().text
 
