@@ -236,7 +236,8 @@ class LibraryBpe(Bpe):
             self.library = None
 
     def plain(self, text: str) -> bytes:
-        return as_bytes(self.library.encode_ordinary(text)) if self.library else super().plain(text)
+        # Long texts without a place to cut stay here: the library's expressions may run out of stack on them.
+        return as_bytes(self.library.encode_ordinary(text)) if self.library and len(text) <= 1000 else super().plain(text)
 
 
 _LOADED: dict[tuple, Bpe] = {}

@@ -16,7 +16,7 @@ def library():
 def test_same_as_the_library(library, kind):
     random.seed(3)
     bits = [" ", " ", "\n", "\t", "a", "b", "é", "1", "'s", "'", "!", "<|endoftext|>", "　", "\xa0", "the", "\x1c", "\r", "中", "🎉", "<|"]
-    texts = ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(3000)] + ["a" * 3000, "xyq1" * 2000, " " * 2000, "", "é" * 500]
+    texts = ["".join(random.choices(bits, k=random.randint(0, 30))) for _ in range(3000)] + ["a" * 3000, "xyq1" * 2000, " " * 2000, "", "é" * 500, " " * 200000, "\n" * 200000, "a1!" * 50000]
     texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)} '{chr(c)}" for c in range(0x2100)]
     coder = kind(bpe.read_vocabulary())
     for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
