@@ -3,7 +3,9 @@
 Euclidean nearness is an inner product: the nearest x to q has the largest q.x - |x|^2 / 2, and the norm is kept exactly. Vectors are product-quantised with
 16 centres for every two dimensions, so two subspaces share a byte. Codes and centres are chosen for the score-aware loss, in which the part of the residual
 that is parallel to the vector weighs ``eta`` times the orthogonal part, since it is what changes large inner products. A scan adds up, for each byte of a
-block's codes, a table of 256 partial products of the query; each block's best rows are reranked by their exact distances in double precision.
+block's codes, a table of 256 partial products of the query; each block's best rows are reranked by their exact distances in double precision, and so are all
+further rows whose score, with MARGIN times the largest error seen among the reranked ones, reaches the k-th best: how many are reranked follows the data, so a
+crowd of nearly equal vectors is told apart exactly.
 
 The quantiser is fitted on a bounded sample (``FIT`` rows by a hash of the id); every row is indexed. Queries go to the executors in parts of bounded size,
 and each part scans the whole index.
@@ -27,6 +29,7 @@ from noticeflow.llm.training import SPACE
 FIT = 16384
 NEIGHBOURS = 10
 RERANK = 128
+MARGIN = 1.25
 BLOCK = 8192
 #: Queries in one part: 16 MB for 64 dimensions.
 QUERIES = 65536
@@ -146,7 +149,6 @@ def scan(indexed: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np.
 
     def run(batches):
         q, own, asked = shared.value
-        tables = None
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, np.int64))] * len(own)
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
@@ -158,17 +160,29 @@ def scan(indexed: DataFrame, quantiser: Quantiser, ids: np.ndarray, queries: np.
                 codes = np.ascontiguousarray(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(n, -1)[order].T)
                 half = ((x * x).sum(axis=1) / 2).astype(np.float32)
                 for i in range(len(own)):
-                    tables = q.tables(asked[i])
+                    target = asked[i].astype(np.float64)
                     score = -half
-                    for byte, table in zip(codes, tables):
-                        score += table[byte]
-                    found = best_rows(score, rerank + 1)
-                    found = found[names[found] != own[i]]
-                    difference = x[found] - asked[i].astype(np.float64)
-                    distance = np.concatenate([best[i][0], np.sqrt((difference * difference).sum(axis=1))])
-                    which = np.concatenate([best[i][1], names[found]])
-                    first = np.lexsort((which, distance))[:k]
-                    best[i] = distance[first], which[first]
+                    for byte, values in zip(codes, q.tables(asked[i])):
+                        score += values[byte]
+
+                    def rerank_rows(rows):
+                        difference = x[rows] - target
+                        distance = np.sqrt((difference * difference).sum(axis=1))
+                        others = names[rows] != own[i]
+                        near, which = np.concatenate([best[i][0], distance[others]]), np.concatenate([best[i][1], names[rows][others]])
+                        first = np.lexsort((which, near))[:k]
+                        best[i] = near[first], which[first]
+                        return distance
+
+                    found = best_rows(score, max(rerank, k) + 1)
+                    distance = rerank_rows(found)
+                    if len(found) < n:
+                        length = (target * target).sum()
+                        error = np.abs((length - distance * distance) / 2 - score[found]).max()
+                        more = score >= (length - best[i][0][-1] ** 2) / 2 - MARGIN * error
+                        more[found] = False
+                        if more.any():
+                            rerank_rows(np.flatnonzero(more))
         for at in range(0, len(own), 4096):
             part = best[at : at + 4096]
             if sum(len(d) for d, _ in part):

@@ -49,6 +49,18 @@ def test_many_equal_vectors(spark):
     assert [r.vec_id for r in got] == list(range(1, 21, 2))
 
 
+def test_a_crowd_of_nearly_equal_vectors(spark):
+    rng = np.random.default_rng(1)
+    centre = rng.normal(size=16)
+    x = np.concatenate([rng.normal(size=(1500, 16)), centre + 0.01 * rng.normal(size=(1500, 16))]).astype(np.float32)
+    ids = np.arange(len(x))
+    want = exact(ids, x, [0, 500, 1500, 2000, 2500, 2900])
+    got = {}
+    for r in N.search(frame(spark, [(int(i), v.tolist(), 0, "a") for i, v in zip(ids, x)]), F.col("vec_id").isin(*want)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) > 0.97
+
+
 def test_queries_in_parts(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     whole = sorted(N.search(df, F.col("vec_id") % 10 == 0).collect())
