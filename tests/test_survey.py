@@ -335,3 +335,55 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (7, 8), (9, 9)] + [(100, i) for i in range(101, 130)] + [(i, i + 1) for i in range(200, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got[3] == 1 and got[8] == 7 and 9 not in got and got[129] == 100 and got[260] == 200
+
+
+def test_same_programmes(record):
+    from noticeflow.operators.programmes import same_programmes
+
+    rows = record(
+        {"source": "a", "source_id": "1", "title": "제목 하나", "agency": "기관", "announce_no": "N-1", "canonical_url": "https://a/1"},
+        {"source": "b", "source_id": "2", "title": "다른", "agency": "기관", "announce_no": "N-1", "canonical_url": "https://b/2"},
+        {"source": "c", "source_id": "PBLN_7", "title": "x", "agency": "y"},
+        {"source": "d", "source_id": "8", "title": "z", "canonical_url": "https://d/?pblancId=PBLN_7"},
+        {"source": "e", "source_id": "9", "title": "t", "agency": "g", "apply_start": "2026-01-01", "apply_end": "2026-02-01"},
+        {"source": "f", "source_id": "9", "title": " t ", "agency": "g", "apply_start": "2026-01-01", "apply_end": "2026-02-01", "announce_no": ""},
+        {"source": "g", "source_id": "10", "title": "t", "agency": "g"},
+    )
+    groups = {}
+    for r in same_programmes(rows).collect():
+        groups.setdefault(r.programme, set()).add((r.source, r.size))
+    assert sorted(map(sorted, groups.values())) == [[("a", 2), ("b", 2)], [("c", 2), ("d", 2)], [("e", 2), ("f", 2)], [("g", 1)]]
+
+
+def test_processed_attachments(spark):
+    from noticeflow.sources import attachments
+
+    from .test_functions import hwpx
+
+    base = "https://bizinfo.go.kr"
+    links = spark.createDataFrame([("1", 0, f"{base}/a", "a.hwpx"), ("2", 0, f"{base}/a", "a.hwpx"), ("1", 1, f"{base}/uploads/b", "b"), ("1", 2, "https://evil.example/c", "c"), ("1", 3, f"{base}/d", "d"), ("1", 4, f"{base}/e", "e.xyz")], "source_id string, pos int, url string, filename string")
+    files = spark.createDataFrame([(f"{base}/a", "/x/a.hwpx", 9, hwpx({0: "글"}), "h1"), (f"{base}/e", "/x/e.xyz", 1, b"e", "h2"), (f"{base}/d", "/x/d.pdf", attachments.MAX_FILE + 1, b"", "h3")], "url string, path string, length long, content binary, sha256 string")
+    rows = attachments.processed(links, files, ["bizinfo.go.kr"], ["/upload"])
+    got = {(r.source_id, r.pos): (r.attachment.download_status, r.attachment.extract_status, r.attachment.sha256) for r in rows.collect()}
+    assert got == {("1", 0): ("ok", "ok", "h1"), ("2", 0): ("ok", "ok", "h1"), ("1", 1): ("skipped_robots", "skipped", None), ("1", 2): ("blocked_redirect", "skipped", None), ("1", 3): ("failed", "skipped", None), ("1", 4): ("ok", "unsupported", "h2")}
+
+
+def test_command_line(spark, tmp_path):
+    from noticeflow.__main__ import main
+
+    from .test_functions import hwpx
+
+    landed = land(tmp_path / "l", page1=envelope(1, notice(1)))
+    assert main(["list", "pbanc", landed, "--out", str(tmp_path / "new"), "--as-of", "2026-07-10"], spark) == 0
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "s.jsonl").write_text("\n".join(p.read_text(encoding="utf-8") for p in (tmp_path / "new").glob("*.json")), encoding="utf-8")
+    assert main(["diff", str(tmp_path / "a"), str(tmp_path / "b"), "--out", str(tmp_path / "d")], spark) == 0
+    (tmp_path / "b/s.jsonl").write_text("", encoding="utf-8")
+    assert main(["diff", str(tmp_path / "a"), str(tmp_path / "b"), "--out", str(tmp_path / "d2")], spark) == 1
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a.hwpx").write_bytes(hwpx({0: "글"}))
+    assert main(["extract", str(tmp_path / "f"), "--out", str(tmp_path / "x")], spark) == 0
+    (tmp_path / "f/b.xyz").write_bytes(b"1")
+    assert main(["extract", str(tmp_path / "f"), "--out", str(tmp_path / "y")], spark) == 2
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "y/texts")).collect()] == ["글"]
