@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from noticeflow.storage import materialise
 
+ROWS_IN_TASK = 500_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of edges (a, b); loops and repeated edges don't matter, nulls must not occur.
@@ -16,15 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     edges, while one that shares the aggregate's shuffle can't.
     """
     pairs = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
+    # Small lists need few tasks a step, whatever the session's number of shuffle partitions; for large ones this changes nothing.
+    tasks = max(6, -(-pairs.count() // ROWS_IN_TASK))
     while True:
         both = pairs.select("v", "m").union(pairs.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = materialise(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least")), "least")
+        least = materialise(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least")).coalesce(tasks), "least")
         large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("least").alias("m")).distinct()
-        large = materialise(large, "edges")
-        least = materialise(large.groupBy("v").agg(F.min("m").alias("least")), "least")
+        large = materialise(large.coalesce(tasks), "edges")
+        least = materialise(large.groupBy("v").agg(F.min("m").alias("least")).coalesce(tasks), "least")
         joined = large.join(least, "v")
         small = joined.select("v", F.col("least").alias("m")).union(joined.where("m <> least").select(F.col("m").alias("v"), F.col("least").alias("m"))).distinct()
-        pairs = materialise(small, "edges")
+        pairs = materialise(small.coalesce(tasks), "edges")
         # Done when no child has two parents and no parent is a child.
         children = pairs.groupBy("v").agg(F.count("*").alias("n"))
         if children.where("n > 1").select("v").union(pairs.select(F.col("m").alias("v")).join(children, "v", "left_semi")).isEmpty():
