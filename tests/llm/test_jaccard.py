@@ -8,7 +8,7 @@ from noticeflow.operators.components import components
 
 
 def brute(rows):
-    """(n_shingles, component_id) of (doc_id, text) rows, from the definition."""
+    """(n_shingles, component_id, n_links) of (doc_id, text) rows, from the definition."""
     sets = []
     for _, text in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
@@ -20,19 +20,21 @@ def brute(rows):
             x = parent[x]
         return x
 
-    holders = {}
+    holders, degree = {}, [0] * len(rows)
     for i, s in enumerate(sets):
         near = {j for t in s for j in holders.get(t, ())}
         for j in near:
             both = len(s & sets[j])
             if 100 * both >= 75 * (len(s) + len(sets[j]) - both):
                 parent[root(i)] = root(j)
+                degree[i] += 1
+                degree[j] += 1
         for t in s:
             holders.setdefault(t, []).append(i)
     least = {}
     for i, (k, _) in enumerate(rows):
         least[root(i)] = min(k, least.get(root(i), k))
-    return {k: (len(sets[i]), least[root(i)]) for i, (k, _) in enumerate(rows)}
+    return {k: (len(sets[i]), least[root(i)], degree[i]) for i, (k, _) in enumerate(rows)}
 
 
 def edited(words, rng, n):
@@ -43,7 +45,7 @@ def edited(words, rng, n):
 
 
 def found(df):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(df).collect()}
+    return {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(df).collect()}
 
 
 def test_whole_table(spark):
@@ -51,7 +53,7 @@ def test_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = brute(rows)
     assert found(docs) == want
-    assert sum(k != c for k, (_, c) in want.items()) > 50
+    assert sum(k != c for k, (_, c, _) in want.items()) > 50
 
 
 @pytest.mark.parametrize("pairwise,block", [(64, 256), (3, 5)])
@@ -77,8 +79,8 @@ def test_odd_rows(docs_of, odd_texts):
 def test_repeated_and_null_keys(spark):
     text = "a b c d e f g h i j"
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + " k"), (3, "x y"), (3, "z")], "doc_id long, text string")
-    rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.classes(df).collect())
-    assert rows == [(0, 6, 1), (1, 6, 1), (1, 6, 1), (2, 7, 1), (3, 1, 3), (3, 1, 3)]
+    rows = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(df).collect())
+    assert rows == [(0, 6, 1, 3), (1, 6, 1, 3), (1, 6, 1, 3), (2, 7, 1, 3), (3, 1, 3, 0), (3, 1, 3, 0)]
 
 
 def test_filters_are_bounds():

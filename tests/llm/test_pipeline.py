@@ -20,7 +20,7 @@ def test_stages_against_brute_force(spark):
             want = {k: r.text for k, r in rows.items() if (k in low) == (name == "toxicity")}
             assert 0 < len(rows) - len(want) < len(rows) / 3
         elif name == "near_duplicates":
-            want = {k: rows[k].text for k, (_, c) in brute([(k, r.text) for k, r in rows.items()]).items() if k == c}
+            want = {k: rows[k].text for k, (_, c, _) in brute([(k, r.text) for k, r in rows.items()]).items() if k == c}
         else:
             want = {k: r.text for k, r in rows.items()}
         docs = materialise(stage(spark, docs, sf), name)
