@@ -40,6 +40,12 @@ def outcome_row(spark: SparkSession, source: str, **values) -> DataFrame:
     return row.withColumn("exit_code", C.exit_code(F.col("outcome")))
 
 
+def first_page_rows(pages: DataFrame, rows: DataFrame) -> int:
+    """How many rows the first landed page gave; none at all is a sign that the site has changed."""
+    first = pages.agg(F.min("page")).first()[0]
+    return rows.where(F.col("page") == F.lit(first)).count()
+
+
 def capped(rows: DataFrame, max_pages: int | None) -> DataFrame:
     """The first pages of a listing, whatever numbers they have."""
     if not max_pages:
@@ -82,19 +88,19 @@ def fanfan(spark: SparkSession, programmes: str, board: str, as_of: Column, craw
     posts = materialise(L.fanfan_board(pages, crawled_at), "posts")
     kept = dedup.keep_first(paging.until_stop(posts, ["source_id"], F.col("raw")["posted"], since, max_pages), KEY, ORDER)
     total = pages.agg(F.min_by(P.board_total(F.col("body")), "page")).first()[0]
-    facts = posts.agg(F.countDistinct("source_id").alias("n"), F.count("*").alias("parsed")).first()
-    collected = kept.count()
-    cover = outcome_row(spark, "fanfandaero", total=total, collected=collected, parsed=facts.parsed, outcome=C.board_outcome(F.col("total"), F.col("collected"), F.col("parsed"), F.lit(False), since, bool(max_pages)))
+    outcome = C.board_outcome(F.col("total"), F.col("collected"), F.col("first_rows"), F.lit(False), since, bool(max_pages))
+    cover = outcome_row(spark, "fanfandaero", total=total, collected=kept.count(), first_rows=first_page_rows(pages, posts), outcome=outcome)
     return Listing(years.unionByName(kept), cover)
 
 
 def ssb(spark: SparkSession, board: str, crawled_at: Column, since: str | None = None, max_pages: int | None = None, expected: int = 10) -> Listing:
-    posts = materialise(L.ssb_board(L.read_html_pages(spark, board), crawled_at), "posts")
+    pages = L.read_html_pages(spark, board)
+    posts = materialise(L.ssb_board(pages, crawled_at), "posts")
     kept = paging.until_stop(posts, ["source_id"], F.col("raw")["posted"], since, max_pages)
     facts = paging.page_facts(kept, ["source_id"])
-    thin, parsed = paging.thin_pages(facts, expected).count(), kept.count()
-    rows = dedup.keep_first(kept, KEY, ORDER)
-    cover = outcome_row(spark, "seoulshinbo", thin=thin, parsed=parsed, collected=rows.count(), outcome=C.thin_outcome(F.col("thin"), F.col("parsed"), F.lit(False)))
+    thin, rows = paging.thin_pages(facts, expected).count(), dedup.keep_first(kept, KEY, ORDER)
+    outcome = C.thin_outcome(F.col("thin"), F.col("first_rows"), F.lit(False))
+    cover = outcome_row(spark, "seoulshinbo", thin=thin, first_rows=first_page_rows(pages, posts), collected=rows.count(), outcome=outcome)
     return Listing(rows, cover)
 
 

@@ -98,6 +98,8 @@ def test_board_with_years(spark, tmp_path):
     assert set(rows) == {"biz-1", "biz-2", "ntc-9", "ntc-8", "ntc-7", "ntc-6"} and rows["biz-1"].title == "a"
     assert rows["ntc-9"].raw["posted"] == "2026-07-10" and rows["ntc-9"].status == "불명" and rows["biz-2"].status == "접수중"
     cut = survey.fanfan(spark, programmes, board, DAY, NOW, since="2026-07-01")
+    empty = survey.fanfan(spark, programmes, land(tmp_path / "n0", p1="<p>changed</p>", p2=post(9, "x", "2026.07.10")), DAY, NOW)
+    assert cover(empty)["outcome"] == "partial"
     assert {r.source_id for r in cut.rows.collect()} == {"biz-1", "biz-2", "ntc-9", "ntc-8", "ntc-7"} and cover(cut)["outcome"] == "success"
 
 
