@@ -72,7 +72,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def totals(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, where = np.unique(rows, return_inverse=True)
-    return distinct, np.bincount(where, weights).astype(np.float32)
+    return distinct.astype(np.int32), np.bincount(where, weights).astype(np.float32)
 
 
 def fit(rows: list[tuple], epochs: int = 4, rate: float = 0.5, seed: int = SEED) -> tuple[np.ndarray, np.ndarray] | None:
@@ -82,8 +82,7 @@ def fit(rows: list[tuple], epochs: int = 4, rate: float = 0.5, seed: int = SEED)
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((2 << BITS, DIM)) - 0.5) / DIM).astype(np.float32)
     out, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
-    bags = [bag(r[1]) for r in rows]
-    bags = [(at, n / (PRIOR + n.sum())) for at, n in bags]
+    bags = [(at, n / (PRIOR + n.sum())) for at, n in (bag(r[1]) for r in rows)]
     labels = np.array([int(r[2]) for r in rows])
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
