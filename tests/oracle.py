@@ -21,7 +21,7 @@ def rows_of(arrow):
 
 def same(spark, con, sf_dir, query, sql):
     """Assert that names, types and rows agree; the number of rows."""
-    left, right = rows_of(query(spark, sf_dir).toArrow()), rows_of(con.execute(sql).to_arrow_table())
+    left, right = rows_of(query(spark, sf_dir).toArrow()), rows_of(con.sql(sql).to_arrow_table())
     assert left[:2] == right[:2]
     different = [(a, b) for a, b in zip(left[2], right[2]) if a != b]
     assert len(left[2]) == len(right[2]) and not different, f"{len(left[2])} and {len(right[2])} rows; {different[:2]}"
