@@ -460,6 +460,20 @@ def same_program_groups(spark, sf_dir):
     return components.groups_by_keys(rows, "doc_id", ["text_key", "place_key"])
 
 
+@query(r"""
+    with recursive d as (select doc_id, 'a' || sha256(text) as a, 'b' || nullif(trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\f\v\n]+', ' ', 'g')), '') as b from documents),
+    e as (select x.doc_id as u, y.m as v from d x join (select a, min(doc_id) as m from d group by a) y on x.a = y.a union select x.doc_id, y.m from d x join (select b, min(doc_id) as m from d group by b) y on x.b = y.b),
+    s as (select u, v from e union select v, u from e),
+    r(u, v) as (select doc_id, doc_id from d union select r.u, s.v from r join s on s.u = r.v)
+    select u as doc_id, min(v) as component from r group by u
+""")
+def same_program_groups_all(spark, sf_dir):
+    """All documents, by their text and by their first line; same_program_groups has short documents only, as its SQL does."""
+    line = X.empty_to_null(X.squeeze(F.substring_index("text", "\n", 1)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.body_hash(F.col("text")).alias("text_key"), X.body_hash(line).alias("line_key"))
+    return components.groups_by_keys(rows, "doc_id", ["text_key", "line_key"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _found.items()}
 

@@ -389,3 +389,31 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "f/b.xyz").write_bytes(b"1")
     assert main(["extract", str(tmp_path / "f"), "--out", str(tmp_path / "y")], spark) == 2
     assert [r.text for r in spark.read.parquet(str(tmp_path / "y/texts")).collect()] == ["글"]
+
+
+def test_groups_of_all_documents(spark, tmp_path):
+    """Brute-force union-find over texts and first lines, long documents too."""
+    import random
+
+    from noticeflow import catalogue
+
+    rng = random.Random(3)
+    long = "word " * 300
+    texts = [f"{rng.choice(['', ' ', 'title one', 'title  one', 'title two', 'other'])}\n{rng.choice(['', long, long + 'x'])}{rng.randrange(4)}" for _ in range(60)] + [long, long, None, None, "", " "]
+    spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    first = {}
+    for i, t in enumerate(texts):
+        for key in () if t is None else (("text", t), ("line", " ".join(t.split("\n")[0].split()))):
+            if key != ("line", ""):
+                a, b = root(i), root(first.setdefault(key, i))
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component for r in catalogue.same_program_groups_all(spark, str(tmp_path)).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+    assert got[61] == 60
