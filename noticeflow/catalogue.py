@@ -257,8 +257,16 @@ def order_listing(spark: SparkSession, sf_dir: str, keep: Column | None = None)
 
 
 def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every third order as the attachments of its detail."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0")
+    """Lines of every third order as the attachments of its detail, as LINES_SQL has them."""
+    return details_of(table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0"))
+
+
+def all_line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every order as the attachments of its detail."""
+    return details_of(table(spark, sf_dir, "lineitem"))
+
+
+def details_of(lines: DataFrame) -> DataFrame:
     digest = F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))
     status = F.when(F.col("l_returnflag") == "R", "failed").otherwise("ok")
     files = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(digest.alias("sha256"), status.alias("extract_status"))).alias("files"))
@@ -275,6 +283,10 @@ LINES_SQL = """(select cast(l_orderkey as varchar) as source_id,
   sha256('order ' || l_orderkey || chr(10) || array_to_string(list_sort(list(l_partkey || '-' || l_linenumber)), chr(10))) as content_hash,
   bool_and(l_returnflag <> 'R') as attachments_complete, count(*) as n_files from lineitem where l_orderkey % 3 = 0 group by l_orderkey)"""
 
+ALL_LINES_SQL = """(select cast(l_orderkey as varchar) as source_id,
+  sha256('order ' || l_orderkey || chr(10) || array_to_string(list_sort(list(l_partkey || '-' || l_linenumber)), chr(10))) as content_hash,
+  bool_and(l_returnflag <> 'R') as attachments_complete, count(*) as n_files from lineitem group by l_orderkey)"""
+
 
 @query(f"select source_id, attachments_complete, n_files from {LINES_SQL}")
 def attachments_complete(spark, sf_dir):
@@ -291,9 +303,14 @@ def attachment_hash_sorted(spark, sf_dir):
     from (select o_orderpriority, o_orderstatus, cast(o_orderkey as varchar) as o_orderkey from orders) o left join {LINES_SQL} d on d.source_id = o.o_orderkey and o.o_orderstatus <> 'P'
 """)
 def detail_upsert(spark, sf_dir):
+    return upserted(spark, sf_dir, line_details(spark, sf_dir))
+
+
+def upserted(spark: SparkSession, sf_dir: str, details: DataFrame) -> DataFrame:
+    """Details of orders merged into their listing, without those of orders with status P."""
     listing = order_listing(spark, sf_dir).withColumn("source", F.lit("sbiz24")).withColumn("primary_type", F.col("raw")["pbancGubun"])
     own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("source_id"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_orderstatus") == "P", "-").otherwise(F.col("o_orderstatus")).alias("namespace"))
-    details = line_details(spark, sf_dir).join(own, "source_id").withColumn("source", F.lit("sbiz24"))
+    details = details.join(own, "source_id").withColumn("source", F.lit("sbiz24"))
     merged = upserts.upsert(listing, details)
     return merged.join(own, "source_id").select(F.col("priority").alias("source"), "source_id", "content_hash", "hash_version", "attachments_complete")
 
@@ -304,6 +321,30 @@ def upsert_unmatched(spark, sf_dir):
     return upserts.unmatched(listing, line_details(spark, sf_dir).withColumn("source", F.lit("s"))).select("source_id")
 
 
+@query(f"select source_id, attachments_complete, n_files from {ALL_LINES_SQL}")
+def attachments_complete_all(spark, sf_dir):
+    return all_line_details(spark, sf_dir).select("source_id", "attachments_complete", "n_files")
+
+
+@query(f"select source_id, content_hash from {ALL_LINES_SQL}")
+def attachment_hash_sorted_all(spark, sf_dir):
+    return all_line_details(spark, sf_dir).select("source_id", "content_hash")
+
+
+@query(f"""
+    select o_orderpriority as source, o.o_orderkey as source_id, d.content_hash, cast(case when d.content_hash is not null then 2 end as integer) as hash_version, coalesce(d.attachments_complete, false) as attachments_complete
+    from (select o_orderpriority, o_orderstatus, cast(o_orderkey as varchar) as o_orderkey from orders) o left join {ALL_LINES_SQL} d on d.source_id = o.o_orderkey and o.o_orderstatus <> 'P'
+""")
+def detail_upsert_all(spark, sf_dir):
+    return upserted(spark, sf_dir, all_line_details(spark, sf_dir))
+
+
+@query("""select distinct cast(l_orderkey as varchar) as source_id from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 2 = 0)""")
+def upsert_unmatched_all(spark, sf_dir):
+    listing = order_listing(spark, sf_dir, F.col("o_orderkey") % 2 == 0).withColumn("source", F.lit("s"))
+    return upserts.unmatched(listing, all_line_details(spark, sf_dir).withColumn("source", F.lit("s"))).select("source_id")
+
+
 @query("""
     select source, left(text, 12) as name, text_hash, case when n = 1 then left(text, 12) else left(text, 12) || '-' || (n - 1) end as stored_name from (
       select source, any_value(text) as text, sha256(text) as text_hash, row_number() over (partition by source, left(any_value(text), 12) order by min(doc_id), sha256(text)) as n from documents group by source, sha256(text))
