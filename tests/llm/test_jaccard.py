@@ -116,3 +116,12 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_null_ids_bridge(spark):
+    words = [f"w{i}" for i in range(40)]
+    left, middle, right = (" ".join(words[a : a + 33]) for a in (0, 3, 6))
+    rows = [(1, left), (None, middle), (None, middle), (2, right), (None, "p q r s t u v"), (None, "p q r s t u v w")]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.n_links) for r in got if r.n_shingles > 9) == [(0, 29, 1, 3), (0, 29, 1, 3), (1, 29, 1, 2), (2, 29, 1, 2)]
+    assert sorted((r.n_shingles, r.component_id, r.n_links) for r in got if r.n_shingles < 9) == [(3, None, 1), (4, None, 1)]
