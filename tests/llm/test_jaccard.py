@@ -125,3 +125,14 @@ def test_null_ids_bridge(spark):
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.n_links) for r in got if r.n_shingles > 9) == [(0, 29, 1, 3), (0, 29, 1, 3), (1, 29, 1, 2), (2, 29, 1, 2)]
     assert sorted((r.n_shingles, r.component_id, r.n_links) for r in got if r.n_shingles < 9) == [(3, None, 1), (4, None, 1)]
+
+
+def test_one_of_each_goes_by_row(spark):
+    a, b, c = ("a b c d e f g h i j", "k l m n o p q r s t", "u v w x y z 1 2 3 4")
+    near = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, a), (2, a), (2, b), (2, b), (None, a), (None, c), (None, c), (None, near), (None, near + " w"), (3, None), (3, None), (None, ""), (4, "only"), (4, b)]
+    kept = jaccard.one_of_each(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string"))
+    assert kept.columns == ["doc_id", "text", "score"]
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert [r for r in got if r[1] and r[1].startswith("w0")] in ([(None, near)], [(None, near + " w")])
+    assert [r for r in got if not (r[1] or "").startswith("w0")] == sorted([(1, a), (2, b), (None, c), (3, None), (3, None), (None, ""), (4, "only")], key=repr)
