@@ -6,6 +6,7 @@ Runs of hex digits have no keyword; their filter is a look at every HEX_LEAST-th
 
 Kinds: ``assign``, ``access`` and ``hex`` are the base kinds, leftmost and non-overlapping within a kind as a search from left to right gives them.
 The method adds ``github`` and ``npm`` (six base-62 digits of CRC-32 over the rest), ``iban`` (remainder 97) and ``card`` (Luhn) after a keyword.
+What follows a number may look like more of it, so shorter ends are tried too: for an IBAN first the length of its country, for a card from the longest down.
 Offsets count code points; ends are exclusive.
 
 Edge cases: a null text is empty and has no spans; overlapping spans of different kinds are all reported.
@@ -33,6 +34,17 @@ NPM = re.compile(r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 IBAN = re.compile(r"iban[ :=]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", re.IGNORECASE | re.ASCII)
 CARD = re.compile(r"card(?: number| no\.?)?[ :=#]{1,3}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.IGNORECASE | re.ASCII)
 KEYWORDS = {k: "assign" for k in ("password", "passwd", "secret", "token", "apikey", "api_key")} | {"akia": "access", "npm_": "npm", "iban": "iban", "card": "card"} | {f"gh{c}_": "github" for c in "pousr"}
+#: Lengths of IBANs by country; other countries may have any.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+IBAN_LEAST, CARD_LEAST = 15, 13
 DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 HEX_DIGITS = frozenset("0123456789abcdef")
 
@@ -58,6 +70,12 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def parts(number: str, marks: str) -> list[tuple[int, str]]:
+    """(end, characters without marks) of a number and of its beginnings that end before a mark, longest first."""
+    ends = [len(number), *(i for i in range(len(number) - 1, 0, -1) if number[i] in marks)]
+    return [(end, "".join(c for c in number[:end] if c not in marks)) for end in ends]
+
+
 def lower_ascii(text: str) -> str:
     """A-Z in lower case and nothing else, so that offsets stay."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
@@ -93,13 +111,19 @@ class Scanner:
 
     @staticmethod
     def iban(text: str, at: int):
-        m = IBAN.match(text, at)
-        return m and (m.start(1), m.end(1), mod97(m[1].replace(" ", "").upper()))
+        """None if no end has a right checksum: what a wrong number seems to cover may hold the next keyword."""
+        if not (m := IBAN.match(text, at)):
+            return None
+        ends = [(end, body.upper()) for end, body in parts(m[1], " ")]
+        length = IBAN_LENGTHS.get(ends[0][1][:2])
+        tried = [e for e in ends if len(e[1]) == length] + (ends[:1] if length else [e for e in ends if len(e[1]) >= IBAN_LEAST])
+        return next(((m.start(1), m.start(1) + end, True) for end, body in tried if mod97(body)), None)
 
     @staticmethod
     def card(text: str, at: int):
-        m = CARD.match(text, at)
-        return m and (m.start(1), m.end(1), luhn(re.sub("[ -]", "", m[1])))
+        if not (m := CARD.match(text, at)):
+            return None
+        return next(((m.start(1), m.start(1) + end, True) for end, body in parts(m[1], " -") if len(body) >= CARD_LEAST and luhn(body)), None)
 
     def spans(self, text: str | None) -> list[tuple[str, int, int]]:
         """(kind, start, end) of all findings, by start, then kind."""
