@@ -38,6 +38,7 @@ def manifest_errors(manifest_: DataFrame) -> DataFrame:
     """Rows whose counts can't be right or whose statuses are unknown, and partial sources that claim to be complete."""
     known = [C.SUCCESS, C.PARTIAL, C.FAILED, C.MANUAL]
     bad = (F.col("screened") > F.col("collected")) | (F.col("candidate") > F.col("screened")) | (F.col("detail_verified") > F.col("candidate"))
+    bad = bad | ((F.col("screened") < F.col("collected")) & (F.col("screening_status") == C.SUCCESS))
     return manifest_.where(bad | ~F.coalesce(F.col("collection_status").isin(known) & F.col("screening_status").isin(known), F.lit(False)))
 
 
@@ -72,6 +73,18 @@ def type_rank() -> Column:
     return rank
 
 
+def verdict_rank() -> Column:
+    rank = F.lit(len(VERDICTS))
+    for i, name in enumerate(VERDICTS):
+        rank = F.when(F.col("verdict") == name, i).otherwise(rank)
+    return rank
+
+
+def ordered_by_type(judged: DataFrame) -> DataFrame:
+    """Announcements with their verdicts in sections by type, inside by verdict, in the order of TYPES and VERDICTS; others come last."""
+    return judged.orderBy(type_rank(), verdict_rank(), "source", "source_id")
+
+
 def deadline_list(announcements: DataFrame, as_of: Column, conditions: str | None = None) -> DataFrame:
     """Announcements with days_left, section and the columns of their order; sort by section, rank, end_date, source, source_id.
 

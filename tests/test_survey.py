@@ -430,3 +430,14 @@ def test_details_of_all_orders(spark, sf):
     assert {r.source_id for r in catalogue.upsert_unmatched_all(spark, sf).collect()} == {k for k in orders if int(k) % 2}
     done = {str(r.o_orderkey) for r in spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus <> 'P'").select("o_orderkey").collect()}
     assert {r.source_id for r in catalogue.detail_upsert_all(spark, sf).collect() if r.content_hash} == orders & done
+
+
+def test_partial_screening_and_type_sections(spark):
+    from noticeflow.operators import report
+
+    counts = [("a", "success", "success", 5, 4, 1, 1), ("b", "success", "partial", 5, 4, 1, 1), ("c", "success", "success", 5, 5, 1, 1)]
+    made = spark.createDataFrame(counts, "source string, collection_status string, screening_status string, collected long, screened long, candidate long, detail_verified long")
+    assert [r.source for r in report.manifest_errors(made).collect()] == ["a"]
+    want = [(t, v) for t in (*report.TYPES, None) for v in (*report.VERDICTS, None)]
+    rows = spark.createDataFrame([("s", str(i), t, v) for i, (t, v) in enumerate(reversed(want))], "source string, source_id string, primary_type string, verdict string")
+    assert [(r.primary_type, r.verdict) for r in report.ordered_by_type(rows).collect()] == want
