@@ -41,8 +41,8 @@ def words_of(text: str | None) -> list[str]:
 def rows_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed vector rows of words: all rows, and how many each word has. Words are rows 0 .. 2 ** BITS, n-grams the next 2 ** BITS."""
     raw = [b"<" + w.encode("utf-8", "surrogatepass") + b">" for w in words]
-    lengths = np.array([len(r) for r in raw], np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
+    lengths = np.array([len(w) + 2 for w in words], np.int64)
+    data = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(starts + lengths, lengths) - np.arange(len(data))  # characters from here to the word's end

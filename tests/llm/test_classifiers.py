@@ -112,3 +112,13 @@ def test_ftrl_is_sparse():
         rows.append((i, " ".join(t + (["slur"] if i % 4 == 0 else [])), int(i % 4 == 0)))
     intercept, at, values = toxicity.fit(rows)
     assert toxicity.features("slur")[0] in at and len(at) < 1000 and intercept < 0
+
+
+def test_quality_n_grams_are_of_characters():
+    from noticeflow.llm import quality
+
+    words = ["bug", "жук", "甲虫类", "é", "🎉\ud800x"]
+    rows, counts = quality.rows_of(words)
+    assert counts.tolist() == [1 + sum(max(0, len(w) + 3 - n) for n in quality.GRAMS) for w in words]
+    grams = [set(r[r >= 1 << quality.BITS].tolist()) for r in (quality.rows_of([w])[0] for w in ("жук", "жар"))]
+    assert len(grams[0] & grams[1]) == 1  # the mark and the first letter
