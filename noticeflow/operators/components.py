@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.storage import materialise
+from noticeflow.storage import discard, materialise
 
 ROWS_IN_TASK = 500_000
 
@@ -15,20 +15,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round sends every node's neighbours to the smallest one it knows. The edge list never grows beyond twice its size, and rounds end when all edges lead to
     a smallest node. Minima are pre-aggregated and written before they are joined: a plain equi-join of written tables can be split where a node has very many
-    edges, while one that shares the aggregate's shuffle can't.
+    edges, while one that shares the aggregate's shuffle can't. A round's tables are deleted when the next one's are written.
     """
     pairs = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
     # Small lists need few tasks a step, whatever the session's number of shuffle partitions; for large ones this changes nothing.
     tasks = max(6, -(-pairs.count() // ROWS_IN_TASK))
     while True:
         both = pairs.select("v", "m").union(pairs.select(F.col("m").alias("v"), F.col("v").alias("m")))
-        least = materialise(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least")).coalesce(tasks), "least")
-        large = both.join(least, "v").where("m > v").select(F.col("m").alias("v"), F.col("least").alias("m")).distinct()
+        known = materialise(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least")).coalesce(tasks), "least")
+        large = both.join(known, "v").where("m > v").select(F.col("m").alias("v"), F.col("least").alias("m")).distinct()
         large = materialise(large.coalesce(tasks), "edges")
         least = materialise(large.groupBy("v").agg(F.min("m").alias("least")).coalesce(tasks), "least")
         joined = large.join(least, "v")
         small = joined.select("v", F.col("least").alias("m")).union(joined.where("m <> least").select(F.col("m").alias("v"), F.col("least").alias("m"))).distinct()
-        pairs = materialise(small.coalesce(tasks), "edges")
+        before, pairs = pairs, materialise(small.coalesce(tasks), "edges")
+        for done in (before, known, large, least):
+            discard(done)
         # Done when no child has two parents and no parent is a child.
         children = pairs.groupBy("v").agg(F.count("*").alias("n"))
         if children.where("n > 1").select("v").union(pairs.select(F.col("m").alias("v")).join(children, "v", "left_semi")).isEmpty():

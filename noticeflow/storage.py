@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (as in tests), a temporary folder of this machine."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a session within one process gets a temporary folder; executors elsewhere couldn't see one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="noticeflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,3 +30,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = work_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that materialise() wrote for a frame, once nothing that is still to be computed reads it."""
+    spark = df.sparkSession
+    folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+    root = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in folders:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(root + "/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -441,3 +441,28 @@ def test_partial_screening_and_type_sections(spark):
     want = [(t, v) for t in (*report.TYPES, None) for v in (*report.VERDICTS, None)]
     rows = spark.createDataFrame([("s", str(i), t, v) for i, (t, v) in enumerate(reversed(want))], "source string, source_id string, primary_type string, verdict string")
     assert [(r.primary_type, r.verdict) for r in report.ordered_by_type(rows).collect()] == want
+
+
+def test_shared_folder(spark, tmp_path):
+    from noticeflow import storage
+
+    df = storage.materialise(spark.range(5), "x")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+    import os
+
+    assert os.path.isdir(folder) and df.count() == 5
+    storage.discard(df)
+    assert not os.path.isdir(folder)
+    outside = spark.range(3)
+    outside.write.parquet(f"file://{tmp_path}/own")
+    storage.discard(spark.read.parquet(f"file://{tmp_path}/own"))
+    assert spark.read.parquet(f"file://{tmp_path}/own").count() == 3
+
+    class Cluster:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return "spark://host:7077" if key == "spark.master" else default
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Cluster)
