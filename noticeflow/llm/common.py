@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,15 +65,21 @@ def salt_count(rows: int, per_salt: int = 1_000_000, least: int = 64) -> int:
     return max(least, -(-rows // per_salt))
 
 
-def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, salts: int) -> DataFrame:
-    """Number the rows of every group from 0 without gaps, without ever sorting a whole group in one task.
+def running_total(df: DataFrame, group: list[str], order: list[str], name: str, salts: int, amount: str | None = None, first: Sequence[str] = ()) -> DataFrame:
+    """Add the sum of ``amount`` (1 if not given) over the earlier rows of every group, without ever sorting a whole group in one task.
 
-    Rows go to ``salts`` salts by a hash of the ``order`` columns; a window numbers the rows of each (group, salt), and the sizes of the earlier
-    salts, one small row for each (group, salt), are added. ``order`` should identify a row; rows equal in it get distinct numbers in any order.
+    Rows go to ``salts`` salts by a hash of the ``order`` columns, within the values of the columns ``first``, which come in their order. A window adds up the
+    rows of each salt, and the sums of the earlier salts, one small row for each, are added. ``order`` should identify a row; rows equal in it come in any order.
     """
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    keys = [*group, "__salt"]
-    before = Window.partitionBy(*group).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = salted.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1
+    keys, each = [*group, *first, "__salt"], F.lit(1).cast("long") if amount is None else F.col(amount)
+    before = Window.partitionBy(*group).orderBy(*first, "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(*keys).agg(F.sum(each).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1 if amount is None else F.coalesce(F.sum(each).over(within), F.lit(0))
     return salted.withColumn("__own", own).join(starts, keys).withColumn(name, F.col("__start") + F.col("__own")).drop("__salt", "__own", "__start")
+
+
+def gapless_rank(df: DataFrame, group: list[str], order: list[str], name: str, salts: int) -> DataFrame:
+    """Number the rows of every group from 0 without gaps, as running_total() does; rows equal in ``order`` get distinct numbers in any order."""
+    return running_total(df, group, order, name, salts)

@@ -56,10 +56,12 @@ def test_whole_table(spark):
     assert sum(k != c for k, (_, c, _) in want.items()) > 50
 
 
-@pytest.mark.parametrize("pairwise,block", [(64, 256), (3, 5)])
-def test_large_groups(docs_of, monkeypatch, pairwise, block):
-    monkeypatch.setattr(jaccard, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("block,sets", [(1 << 19, 256), (300, 5)])
+def test_large_groups(docs_of, monkeypatch, block, sets):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+    monkeypatch.setattr(jaccard, "KNOWN_POSTINGS", 18 if sets > 99 else 3)
+    monkeypatch.setattr(jaccard, "KNOWN_SETS", 16 if sets > 99 else 1)
     rng = random.Random(4)
     base = [[f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 90))] for _ in range(6)]
     texts = [edited(b, rng, rng.randrange(4)) for b in base for _ in range(25)] + [" ".join(base[0])] * 40
@@ -87,11 +89,19 @@ def test_filters_are_bounds():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    for _ in range(300):
-        x, y = (np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(2))
-        assert jaccard.suffix_bound(x, y) >= len(np.intersect1d(x, y))
-    sets = [np.unique(rng.integers(0, 80, rng.integers(1, 60)).astype(np.uint64)) for _ in range(20)]
-    assert all(jaccard.overlaps(sets)[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20))
+    for most in (12, 400):
+        base = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2)
+        sets = [np.unique(rng.choice(base[: 3 * most], rng.integers(1, most))) for _ in range(25)] + [np.unique(base[: most - i]) for i in range(6)]
+        i, j = np.triu_indices(len(sets), 1)
+        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+        assert (jaccard.overlaps(sets, i, j) == both).all() and (jaccard.suffix_bounds(sets, i, j) >= both).all()
+        n = np.array([len(s) for s in sets])
+        want = 100 * both >= 75 * (n[i] + n[j] - both)
+        assert want.any() and (jaccard.joined_pairs(sets, None)[i, j] >= want).all()
+        assert list(zip(*jaccard.links(sets))) == list(zip(i[want], j[want]))
+        block = np.arange(len(sets)) % 2
+        across = want & (block[i] != block[j])
+        assert list(zip(*jaccard.links(sets, block))) == list(zip(i[across], j[across]))
     assert jaccard.least_overlap(4, 4) == 4 and jaccard.least_overlap(7, 7) == 6 and jaccard.prefix_length(4) == 2
 
 
@@ -136,3 +146,32 @@ def test_one_of_each_goes_by_row(spark):
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
     assert [r for r in got if r[1] and r[1].startswith("w0")] in ([(None, near)], [(None, near + " w")])
     assert [r for r in got if not (r[1] or "").startswith("w0")] == sorted([(1, a), (2, b), (None, c), (3, None), (3, None), (None, ""), (4, "only")], key=repr)
+
+
+def test_candidates_connect_what_the_filters_let_pass(spark):
+    """Postings of a few shingles at random places: the edges connect exactly the pairs that pass the length and positional filters."""
+    rng = random.Random(5)
+    rows, pairs, sizes = [], set(), [rng.randrange(8, 60) for _ in range(120)]
+    at = {s: {t: p for t, p in zip(rng.sample(range(12), 4), rng.sample(range(jaccard.prefix_length(n)), min(4, jaccard.prefix_length(n))))} for s, n in enumerate(sizes)}
+    for s, places in at.items():
+        most = jaccard.largest_partner(sizes[s])
+        rows += [(t, s, int(most[p]) << 32 | sizes[s]) for t, p in places.items()] * rng.randrange(1, 3)
+        for r in range(s):
+            a, b = sizes[s], sizes[r]
+            if any(min(a - p, b - at[r][t]) >= jaccard.least_overlap(a, b) and 100 * min(a, b) >= 75 * max(a, b) for t, p in places.items() if t in at[r]):
+                pairs.add((r, s))
+
+    def classes(edges):
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            parent[root(a)] = root(b)
+        return {frozenset(y for y in parent if root(y) == root(x)) for x in parent}
+
+    edges = {(r.a, r.b) for r in jaccard.candidate_edges(spark.createDataFrame(rows, "token long, sid long, size long")).collect()}
+    assert edges <= pairs and classes(edges) == classes(pairs) and 10 < len(edges) < len(pairs)
