@@ -198,8 +198,12 @@ def digests(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The documents with every finding replaced by a mark; all columns stay, n_chars (if there) counts the new text, and texts without findings don't change."""
+    """The documents with every finding replaced by a mark; all columns stay, and texts without findings don't change.
+
+    A column n_chars of whole numbers counts the new text; one of another type is another thing of that name and stays as it is. Null texts stay null.
+    """
     schema = docs.schema
+    counted = "n_chars" in schema.fieldNames() and schema["n_chars"].dataType.typeName() in ("integer", "long")
     where = schema.fieldNames().index(text)
 
     def run(batches):
@@ -212,7 +216,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataF
                 values = [masked(x, scan(x), mark) if x else x for x in part.column(where).to_pylist()]
                 columns = list(part.columns)
                 columns[where] = pa.array(values, type=part.schema.field(where).type)
-                if "n_chars" in part.schema.names:
+                if counted:
                     i = part.schema.get_field_index("n_chars")
                     columns[i] = pa.array([n if x is None or x == old else len(x) for n, x, old in zip(columns[i].to_pylist(), values, part.column(where).to_pylist())], type=columns[i].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)

@@ -12,11 +12,11 @@ SPACE = 1 << 30
 
 
 def sample(docs: DataFrame, labels: DataFrame | None, label: str, per_label: int, seed: int, text: str = "text", key: str = "doc_id") -> list[tuple]:
-    """Up to about ``per_label`` documents of each label, outside the held-out fold: sorted (key, text, label).
+    """About ``per_label`` documents of each label, outside the held-out fold: sorted (key, text, label).
 
-    ``labels`` has key and label; None: the label is a column of ``docs``. Rows with null keys, labels or texts are no examples, and of several labels of a
-    key the largest counts. Rows are taken by a hash of the key, so the same rows come whatever the partitioning; the bound is on their number
-    (expected value; twice it at most), and their texts come whole.
+    ``labels`` has key and label; None: the label is a column of ``docs``. Rows with null keys, labels or texts are no examples; of several labels of a key the
+    largest counts, and of several texts the least. Rows are drawn by a hash of the key, so the same come whatever the partitioning. The bound is on their
+    number: ``per_label`` expected, and never more than twice as many keys; their texts come whole, from the tasks that have them.
     """
     own = labels is None
     marked = (docs if own else labels).select(F.col(key), F.col(label).alias("__label")).where(F.col(key).isNotNull() & F.col("__label").isNotNull() & ~held_out(key))
@@ -27,11 +27,7 @@ def sample(docs: DataFrame, labels: DataFrame | None, label: str, per_label: int
     for value, n in counts.items():
         share = F.when(F.col("__label") == value, F.lit(min(SPACE, int(SPACE * per_label / n)))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(SPACE)) < share
-    most = 2 * per_label * len(counts)
-    if own:
-        texts = docs.select(F.col(key), F.col(text), F.col(label).alias("__label")).where(F.col(key).isNotNull() & F.col("__label").isNotNull() & F.col(text).isNotNull() & ~held_out(key)).where(drawn)
-    else:
-        ids = marked.where(drawn).groupBy(key).agg(F.max("__label").alias("__label")).limit(most)  # bounded: ids and labels of the sample
-        texts = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(ids), key).select(key, text, "__label")
-    rows = texts.limit(most).toArrow().to_pydict()
-    return sorted(zip(rows[key], rows[text], rows["__label"]))
+    ids = marked.where(drawn).groupBy(key).agg(F.max("__label").alias("__label")).limit(2 * per_label * len(counts))  # bounded: ids and labels of the sample
+    rows = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(ids), key)
+    rows = rows.groupBy(key).agg(F.min(text).alias("__text"), F.max("__label").alias("__label")).toArrow().to_pydict()
+    return sorted(zip(rows[key], rows["__text"], rows["__label"]))

@@ -122,3 +122,9 @@ def test_quality_n_grams_are_of_characters():
     assert counts.tolist() == [1 + sum(max(0, len(w) + 3 - n) for n in quality.GRAMS) for w in words]
     grams = [set(r[r >= 1 << quality.BITS].tolist()) for r in (quality.rows_of([w])[0] for w in ("жук", "жар"))]
     assert len(grams[0] & grams[1]) == 1  # the mark and the first letter
+
+
+def test_sample_takes_one_row_of_a_repeated_key(spark):
+    docs = spark.createDataFrame([(1, "b")] * 500 + [(1, "a"), (2, None), (None, "x"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (None, 1), (3, 0)], "doc_id long, toxic int")
+    assert training.sample(docs, labels, "toxic", 100, 7) == [(1, "a", 1), (3, "c", 0)]

@@ -75,3 +75,9 @@ def test_numbers_before_words_dates_and_codes(docs_of):
     assert [two[a:b] for _, a, b in S.Scanner().spans(two)] == ["AT61 1904 3002 3457 3201"]
     row = S.redact(docs_of(["pay IBAN ES9121000418450200051332 is due, card: 4111111111111111 12/27"])).collect()[0]
     assert row.text == "pay IBAN [secret] is due, card: [secret] 12/27"
+
+
+def test_redaction_leaves_another_column_of_the_name_alone(spark):
+    rows = [("a token=abcdef z", "many"), (None, None), ("clean", "few")]
+    got = S.redact(spark.createDataFrame(rows, "text string, n_chars string")).collect()
+    assert [(r.text, r.n_chars) for r in got] == [("a [secret] z", "many"), (None, None), ("clean", "few")]
