@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.storage import discard, materialise
-
-ROWS_IN_TASK = 500_000
+from noticeflow.storage import discard, materialise, tasks_for
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     pairs = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct(), "edges")
     # Small lists need few tasks a step, whatever the session's number of shuffle partitions; for large ones this changes nothing.
-    tasks = max(6, -(-pairs.count() // ROWS_IN_TASK))
+    tasks = tasks_for(pairs.count())
     while True:
         both = pairs.select("v", "m").union(pairs.select(F.col("m").alias("v"), F.col("v").alias("m")))
         known = materialise(both.groupBy("v").agg(F.least(F.min("m"), F.col("v")).alias("least")).coalesce(tasks), "least")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_IN_TASK = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a session within one process gets a temporary folder; executors elsewhere couldn't see one."""
@@ -25,10 +27,20 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: it is computed once, its lineage ends, and a lost executor costs nothing."""
+def tasks_for(rows: int) -> int:
+    """How many tasks, and so files, a table of so many narrow rows is worth, whatever the session's number of shuffle partitions."""
+    return max(1, -(-rows // ROWS_IN_TASK))
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: it is computed once, its lineage ends, and a lost executor costs nothing.
+
+    ``rows``: how many narrow rows it may have, so that a small table isn't scattered over as many files as there are shuffle partitions. The marker of a
+    finished job is left out, as nobody else looks for these tables.
+    """
     path = work_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df = df if rows is None else df.repartition(tasks_for(rows))
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
