@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from noticeflow.storage import materialise, shared_dir, work_dir  # noqa: F401 - operators take them from here
+from noticeflow.storage import discard, materialise, shared_dir, tasks_for, work_dir  # noqa: F401 - operators take them from here
 
 #: Documents with crc32(doc_id as text) mod FOLDS = HELD_OUT are kept back from training.
 FOLDS = 5
