@@ -18,7 +18,8 @@ LINKS = T.ArrayType(struct(**texts("url", "filename")))
 FANFAN_LINK = re.compile(r'https://fanfandaero\.kr/download\.do\?fileName=[^"&\\\s]+')
 FANFAN_NAME = re.compile(r'fileName=([^"&]+)[^"]*"\s*,\s*"\d+"\s*,\s*"([^"]+)"')
 SSB_LINK = re.compile(r"common\.download\(\s*\d+\s*,\s*'([a-f0-9-]+)'")
-SSB_IN_SPAN, SSB_AFTER_ICON = r"'\)\"[^>]*>\s*<span[^>]*>([^<]+)", r"'\)\"[^>]*>[\s\S]*?alt=\"\"\s*>\s*([^<]+)"
+SSB_IN_SPAN = r"""common\.download\(\s*\d+\s*,\s*'%s'\)"[^>]*>\s*<span[^>]*>([^<]+)"""
+SSB_AFTER_ICON = r"""common\.download\(\s*\d+\s*,\s*'%s'\)"[^>]*>[\s\S]*?alt=""\s*>\s*([^<]+)"""
 SSB_FILE = "https://www.seoulshinbo.co.kr/download/{post}/{serial}.do?mng_cd=STRY9788"
 
 
@@ -41,8 +42,7 @@ def ssb_links(page: str, post: str) -> list[tuple[str, str]]:
     """Files in order of appearance, once each, named by the text beside the link or else by their serial."""
     out = []
     for serial in dict.fromkeys(SSB_LINK.findall(page)):
-        call = r"common\.download\(\s*\d+\s*,\s*'" + re.escape(serial)
-        named = re.search(call + SSB_IN_SPAN, page) or re.search(call + SSB_AFTER_ICON, page)
+        named = re.search(SSB_IN_SPAN % re.escape(serial), page) or re.search(SSB_AFTER_ICON % re.escape(serial), page)
         out.append((SSB_FILE.format(post=post, serial=serial), unquote_plus(tidy(named[1])) if named else serial))
     return out
 

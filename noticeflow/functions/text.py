@@ -6,6 +6,7 @@ Entities are decoded by an Arrow UDF, as Spark has no expression for it; all els
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """A function of a value that is computed once a row, however often the function uses it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
@@ -54,8 +60,12 @@ def tags_to_lines(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"<script[\s\S]*?</script>|<style[\s\S]*?</style>", ""), "<[^>]+>", "\n")
 
 
+#: Fixed value: what stands between two line ends that become one.
+BLANK_LINES = r"(?U)\n(?:[\s\x1c-\x1f]*\n)+"
+
+
 def join_blank_lines(c: Column) -> Column:
-    return F.regexp_replace(c, rf"\n(?:{SPACE}*\n)+", "\n")
+    return F.regexp_replace(c, BLANK_LINES, "\n")
 
 
 def strip_tags_lines(c: Column) -> Column:
@@ -67,30 +77,37 @@ def iso(year: Column, month: Column, day: Column) -> Column:
     return F.concat_ws("-", year, F.lpad(month.cast("int").cast("string"), 2, "0"), F.lpad(day.cast("int").cast("string"), 2, "0"))
 
 
+#: Dates with a year of four and of two digits.
+FOUR, TWO = r"(?U)\d{4}[.\-/\s]+\d{1,2}[.\-/\s]+\d{1,2}", r"(?U)\d{2}[.\-/]\d{1,2}[.\-/]\d{1,2}"
+
+
 def norm_date(c: Column, cleaned: bool = False) -> Column:
-    """The first date with a year of four, else of two digits, as YYYY-MM-DD; else the cleaned text itself."""
-    c = c if cleaned else clean(c)
-    four = r"(?U)(\d{4})[.\-/\s]+(\d{1,2})[.\-/\s]+(\d{1,2})"
-    two = r"(?U)(\d{2})[.\-/](\d{1,2})[.\-/](\d{1,2})"
+    """The first date with a year of four, else of two digits, as YYYY-MM-DD; else the cleaned text itself. One search a shape."""
 
-    def part(pattern: str, i: int) -> Column:
-        return F.regexp_extract(c, pattern, i)
+    def dated(found: Column, century: str) -> Column:
+        return let(F.split(found, r"(?U)[.\-/\s]+"), lambda p: iso(F.concat(F.lit(century), p[0]), p[1], p[2]))
 
-    return (
-        F.when(c.rlike(four), iso(part(four, 1), part(four, 2), part(four, 3)))
-        .when(c.rlike(two), iso(F.concat(F.lit("20"), part(two, 1)), part(two, 2), part(two, 3)))
-        .otherwise(c)
-    )
+    def of(text: Column) -> Column:
+        short = let(F.regexp_extract(text, TWO, 0), lambda d: F.when(d == "", text).otherwise(dated(d, "20")))
+        return let(F.regexp_extract(text, FOUR, 0), lambda d: F.when(d == "", short).otherwise(dated(d, "")))
+
+    return let(c if cleaned else clean(c), of)
 
 
 def split_period(c: Column, cleaned: bool = False) -> Column:
-    """struct<start, end> of 'a ~ b'; anything else is an end without a start."""
-    parts = F.split(c, "[~∼]")
-    two = F.size(parts) == 2
-    return F.struct(
-        F.when(two, norm_date(F.get(parts, F.lit(0)), cleaned)).otherwise("").alias("start"),
-        F.when(two, norm_date(F.get(parts, F.lit(1)), cleaned)).otherwise(norm_date(c, cleaned)).alias("end"),
-    )
+    """struct<start, end> of 'a ~ b'; anything else is an end without a start. The halves and the whole are cleaned together."""
+    if not cleaned:
+        c = F.coalesce(c, F.lit(""))
+    texts_ = F.concat(F.split(c, "[~∼]"), F.array(c))
+    if not cleaned:
+        texts_ = F.transform(F.split(unescape(F.array_join(texts_, "\u0000")), "\u0000"), squeeze)
+
+    def of(parts: Column) -> Column:
+        two = F.size(parts) == 3
+        start = F.when(two, norm_date(F.get(parts, F.lit(0)), True)).otherwise("")
+        return F.struct(start.alias("start"), norm_date(F.when(two, F.get(parts, F.lit(1))).otherwise(F.element_at(parts, -1)), True).alias("end"))
+
+    return let(texts_, of)
 
 
 def halves(c: Column) -> Column:

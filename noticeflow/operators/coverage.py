@@ -30,6 +30,19 @@ def list_outcome(total: Column, fetched: Column, collected: Column, capped: bool
     return chain((F.coalesce(total == 0, F.lit(True)) | (collected == 0), FAILED), *full)
 
 
+def or_manual(blocked: Column, outcome: Column) -> Column:
+    """A page that withholds its content asks for a look by hand, whatever else was collected."""
+    return F.when(F.coalesce(blocked, F.lit(False)), MANUAL).otherwise(outcome)
+
+
+def worst(coverage: DataFrame) -> DataFrame:
+    """outcome, exit_code of several collections as one: the first of failed, manual, partial and inactive that one of them has, else success."""
+    order = [FAILED, MANUAL, PARTIAL, INACTIVE, SUCCESS]
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("outcome"))
+    row = coverage.agg(F.element_at(F.array(*map(F.lit, order)), F.coalesce(F.min(rank), F.lit(1)).cast("int")).alias("outcome"))
+    return row.withColumn("exit_code", exit_code(F.col("outcome")))
+
+
 def portal_outcome(expected_pages: Column, pages: Column, expected: Column, collected: Column, capped: bool = False) -> Column:
     """The portal's table: all pages and exactly the announced number; an unknown number is never complete."""
     full = [] if capped else [(pages < expected_pages, PARTIAL), (collected != expected, PARTIAL), (expected.isNull(), PARTIAL)]

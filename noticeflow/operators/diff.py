@@ -21,37 +21,46 @@ def filled(c: Column) -> Column:
 
 
 def changed_fields(old: str, new: str) -> Column:
-    """Names of the fields that differ, in order; null and empty are equal. Hashes count only if both exist and follow one formula."""
-    plain = [F.when(~F.nullif(F.col(f"{old}.{f}"), F.lit("")).eqNullSafe(F.nullif(F.col(f"{new}.{f}"), F.lit(""))), f) for f in FIELDS]
-    both = filled(F.col(f"{old}.content_hash")) & filled(F.col(f"{new}.content_hash"))
-    same_formula = F.col(f"{old}.hash_version").eqNullSafe(F.col(f"{new}.hash_version"))
-    hashes = F.when(both & same_formula & (F.col(f"{old}.content_hash") != F.col(f"{new}.content_hash")), "content_hash")
+    """Names of the fields that differ, in order; null and empty are equal. Hashes count only if both exist and follow one formula.
+
+    ``old`` and ``new`` are prefixes of column names.
+    """
+    plain = [F.when(~F.nullif(F.col(old + f), F.lit("")).eqNullSafe(F.nullif(F.col(new + f), F.lit(""))), f) for f in FIELDS]
+    both = filled(F.col(f"{old}content_hash")) & filled(F.col(f"{new}content_hash"))
+    same_formula = F.col(f"{old}hash_version").eqNullSafe(F.col(f"{new}hash_version"))
+    hashes = F.when(both & same_formula & (F.col(f"{old}content_hash") != F.col(f"{new}content_hash")), "content_hash")
     found = F.array_compact(F.array(*plain, hashes))
     return F.when((F.size(found) == 0) & both & ~same_formula, F.array(F.lit(FORMULA_CHANGE))).otherwise(found)
 
 
+def side(snapshot: DataFrame, prefix: str) -> DataFrame:
+    """Key, compared columns, a mark that the key is there, and the whole record, which is dropped before the join where nobody asks for it."""
+    compared_ = [F.col(c).alias(prefix + c) for c in (*FIELDS, "content_hash", "hash_version")]
+    return snapshot.select(*KEY, *compared_, F.lit(True).alias(prefix + "found"), F.struct(*snapshot.columns).alias(prefix + "record"))
+
+
 def compare(old: DataFrame, new: DataFrame, invalidate: bool = False, incremental: Sequence[str] = ()) -> DataFrame:
     """source, source_id, kind, changed_fields, record of every key of either snapshot.
 
     A key of the old one only is GONE if its source has been surveyed again, and not incrementally; other missing keys have no kind and no row. With
     ``invalidate`` every key of the new one is NEW. Keys must be unique in each snapshot. One shuffle of each snapshot; the sources are a handful.
     """
-    o = old.select(*KEY, F.struct(*(c for c in old.columns)).alias("o"))
-    n = new.select(*KEY, F.struct(*(c for c in new.columns)).alias("n"))
     surveyed = new.select("source").distinct().withColumn("surveyed", F.lit(True))
-    both = o.join(n, KEY, "full_outer").join(surveyed, "source", "left")
-    fields = F.when(F.col("o").isNull() | F.col("n").isNull() | F.lit(invalidate), F.array().cast("array<string>")).otherwise(changed_fields("o", "n"))
+    both = side(old, "o_").join(side(new, "n_"), KEY, "full_outer").join(surveyed, "source", "left")
+    before, now = F.col("o_found").isNotNull(), F.col("n_found").isNotNull()
+    fresh = now & (~before | F.lit(invalidate))
+    fields = F.when(now & ~fresh, changed_fields("o_", "n_")).otherwise(F.array().cast("array<string>"))
     skipped = [ALIASES.get(s, s) for s in incremental]
-    gone = F.coalesce(F.col("surveyed"), F.lit(False)) & ~F.col("source").isin(*skipped) if skipped else F.coalesce(F.col("surveyed"), F.lit(False))
+    gone = F.coalesce(F.col("surveyed"), F.lit(False)) & (~F.col("source").isin(*skipped) if skipped else F.lit(True))
     kind = (
-        F.when(F.col("n").isNull(), F.when(gone, "GONE"))
-        .when(F.col("o").isNull() | F.lit(invalidate), "NEW")
+        F.when(~now, F.when(gone, "GONE"))
+        .when(fresh, "NEW")
         .when(F.size("fields") > 0, "CHANGED")
-        .when(filled(F.col("o.content_hash")) & ~filled(F.col("n.content_hash")), "NEEDS_REHASH")
+        .when(filled(F.col("o_content_hash")) & ~filled(F.col("n_content_hash")), "NEEDS_REHASH")
         .otherwise("UNCHANGED")
     )
     rows = both.withColumn("fields", fields).withColumn("kind", kind).where("kind is not null")
-    return rows.select(*KEY, "kind", F.col("fields").alias("changed_fields"), F.coalesce("n", "o").alias("record"))
+    return rows.select(*KEY, "kind", F.col("fields").alias("changed_fields"), F.coalesce("n_record", "o_record").alias("record"))
 
 
 def missing_sources(old: DataFrame, new: DataFrame) -> DataFrame:

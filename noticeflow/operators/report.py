@@ -55,7 +55,7 @@ def verdict_errors(announcements: DataFrame, verdicts: DataFrame) -> DataFrame:
         "known verdict": ~F.coalesce(F.col("verdict").isin(*VERDICTS), F.lit(False)),
         "unread attachment": (F.col("verdict") == CONFIRMED) & ~F.coalesce("attachments_complete", F.lit(False)),
         "unknown status": (F.col("verdict") == CONFIRMED) & (F.col("status") == X.UNKNOWN),
-        "loan terms": (F.col("primary_type") == "loan") & (F.col("verdict") == CONFIRMED) & some_missing,
+        "loan terms": (F.col("primary_type") == "loan") & some_missing,
     }
     broken = F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in rules.items())))
     return rows.select(*KEY, F.explode(broken).alias("rule"))

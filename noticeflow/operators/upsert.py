@@ -62,6 +62,19 @@ def unmatched(listing: DataFrame, details: DataFrame) -> DataFrame:
     return details.join(listing.select(*KEY), KEY, "left_anti")
 
 
+def enriched(listing: DataFrame, judged: DataFrame) -> DataFrame:
+    """The listing with what a reader found out: primary_type, and raw (such as the terms of loans), merged into the row's.
+
+    ``judged`` has source, source_id, primary_type, raw; its keys must be unique. What it leaves null stays as it was, and so do rows that it doesn't have.
+    """
+    d = judged.select(*KEY, F.col("primary_type").alias("d_type"), F.col("raw").alias("d_raw"))
+    none = F.create_map().cast("map<string,string>")
+    own, more = F.coalesce("raw", none), F.coalesce("d_raw", none)
+    merged = F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key(more, k)), more)
+    changed = {"primary_type": F.coalesce("d_type", "primary_type"), "raw": F.when(F.col("d_raw").isNull(), F.col("raw")).otherwise(merged)}
+    return listing.join(d, KEY, "left").select(*(changed[c].alias(c) if c in changed else F.col(c) for c in listing.columns))
+
+
 def lookup(listing: DataFrame, source: str, source_id: str) -> DataFrame:
     return listing.where((F.col("source") == source) & (F.col("source_id").cast("string") == source_id)).limit(1)
 

@@ -1,4 +1,7 @@
-"""End-to-end plans: landed pages to listings with their coverage, details to merged listings, and two snapshots to a diff."""
+"""End-to-end plans: landed pages to listings with their coverage, details to merged listings, and two snapshots to a diff.
+
+Pages are a folder's path, or a frame as the readers of ``sources.listings`` give it.
+"""
 
 from __future__ import annotations
 
@@ -40,6 +43,17 @@ def outcome_row(spark: SparkSession, source: str, **values) -> DataFrame:
     return row.withColumn("exit_code", C.exit_code(F.col("outcome")))
 
 
+def json_pages(spark: SparkSession, pages: DataFrame | str, schema) -> DataFrame:
+    return L.read_json_pages(spark, pages, schema) if isinstance(pages, str) else pages
+
+
+def html_pages(spark: SparkSession, pages: DataFrame | str) -> tuple[DataFrame, bool]:
+    """Pages up to the first that withholds its content, and whether there is one: what follows it was never asked for."""
+    pages = L.read_html_pages(spark, pages) if isinstance(pages, str) else pages
+    first = pages.where(X.blocked_page(F.col("body"))).agg(F.min("page")).first()[0]
+    return (pages, False) if first is None else (pages.where(F.col("page") < F.lit(first)), True)
+
+
 def first_page_rows(pages: DataFrame, rows: DataFrame) -> int:
     """How many rows the first landed page gave; none at all is a sign that the site has changed."""
     first = pages.agg(F.min("page")).first()[0]
@@ -54,9 +68,9 @@ def capped(rows: DataFrame, max_pages: int | None) -> DataFrame:
     return rows.where(F.col("page") <= F.lit(last))
 
 
-def sbiz(spark: SparkSession, path: str, mode: str, as_of: Column, crawled_at: Column, max_pages: int | None = None) -> Listing:
+def sbiz(spark: SparkSession, path: DataFrame | str, mode: str, as_of: Column, crawled_at: Column, max_pages: int | None = None) -> Listing:
     """The JSON list in one mode: repeated rows keep the first; the announced total is the first page's."""
-    pages = capped(L.read_json_pages(spark, path, S.LIST_PAGE), max_pages)
+    pages = capped(json_pages(spark, path, S.LIST_PAGE), max_pages)
     rows = materialise(L.sbiz_notices(pages, mode, as_of, crawled_at), "rows")
     counts = rows.agg(F.count("*").alias("fetched"), F.countDistinct("source_id").alias("collected")).first()
     total = pages.agg(F.min_by("data.default.total", "page")).first()[0]
@@ -64,54 +78,65 @@ def sbiz(spark: SparkSession, path: str, mode: str, as_of: Column, crawled_at: C
     return Listing(dedup.keep_first(rows, KEY, ORDER), cover)
 
 
-def bizinfo(spark: SparkSession, path: str, as_of: Column, crawled_at: Column, max_pages: int | None = None) -> Listing:
+def sbiz_all(spark: SparkSession, pbanc: DataFrame | str, combine: DataFrame | str, as_of: Column, crawled_at: Column, max_pages: int | None = None) -> Listing:
+    """Both modes in one listing; its coverage has a row for each mode, and coverage.worst() is the outcome of both."""
+    modes = [sbiz(spark, pbanc, "pbanc", as_of, crawled_at, max_pages), sbiz(spark, combine, "combine", as_of, crawled_at, max_pages)]
+    return Listing(modes[0].rows.unionByName(modes[1].rows), modes[0].coverage.unionByName(modes[1].coverage))
+
+
+def bizinfo(spark: SparkSession, path: DataFrame | str, as_of: Column, crawled_at: Column, max_pages: int | None = None) -> Listing:
     """The portal's table: repeated rows keep the last values, and pages count up to the first without a new row."""
-    pages = L.read_html_pages(spark, path)
+    pages, blocked = html_pages(spark, path)
     first = pages.select("page", P.last_page(F.col("body")).alias("last"), P.announced_total(F.col("body")).alias("total")).agg(F.min_by(F.struct("last", "total"), "page").alias("f")).first().f
     rows = materialise(L.bizinfo_notices(pages, as_of, crawled_at), "rows")
     cap = min(first.last, max_pages) if max_pages and first else max_pages
     kept = paging.until_stop(rows, ["source_id"], max_pages=cap)
     counts = kept.agg(F.countDistinct("source_id").alias("collected"), F.countDistinct("page").alias("pages")).first()
     outcome = C.portal_outcome(F.col("expected_pages"), F.col("pages"), F.col("expected"), F.col("collected"), bool(max_pages and first and cap < first.last))
+    outcome = C.or_manual(F.lit(blocked), outcome)
     cover = outcome_row(spark, "bizinfo", expected_pages=first and first.last, pages=counts.pages, expected=first and first.total, collected=counts.collected, outcome=outcome)
     return Listing(dedup.keep_last(kept, KEY, ORDER), cover)
 
 
-def fanfan(spark: SparkSession, programmes: str, board: str, as_of: Column, crawled_at: Column, since: str | None = None, max_pages: int | None = None) -> Listing:
+def fanfan(spark: SparkSession, programmes: DataFrame | str, board: DataFrame | str, as_of: Column, crawled_at: Column, since: str | None = None, max_pages: int | None = None) -> Listing:
     """Programmes of all years and the notice board; the board may end at a cutoff date."""
-    yearly = L.fanfan_notices(L.read_json_pages(spark, programmes, S.YEAR_PAGE), as_of, crawled_at)
+    yearly = L.fanfan_notices(json_pages(spark, programmes, S.YEAR_PAGE), as_of, crawled_at)
     # The first answer repeats within itself keep the last, later years don't replace what is there.
     first_page = yearly.agg(F.min("page")).first()[0]
     own = dedup.keep_last(yearly.where(F.col("page") == F.lit(first_page)), KEY, ORDER)
     years = dedup.keep_first(own.unionByName(yearly.where(F.col("page") > F.lit(first_page))), KEY, ORDER)
-    pages = L.read_html_pages(spark, board)
+    pages, blocked = html_pages(spark, board)
     posts = materialise(L.fanfan_board(pages, crawled_at), "posts")
     kept = dedup.keep_first(paging.until_stop(posts, ["source_id"], F.col("raw")["posted"], since, max_pages), KEY, ORDER)
     total = pages.agg(F.min_by(P.board_total(F.col("body")), "page")).first()[0]
-    outcome = C.board_outcome(F.col("total"), F.col("collected"), F.col("first_rows"), F.lit(False), since, bool(max_pages))
+    outcome = C.or_manual(F.lit(blocked), C.board_outcome(F.col("total"), F.col("collected"), F.col("first_rows"), F.lit(False), since, bool(max_pages)))
     cover = outcome_row(spark, "fanfandaero", total=total, collected=kept.count(), first_rows=first_page_rows(pages, posts), outcome=outcome)
     return Listing(years.unionByName(kept), cover)
 
 
-def ssb(spark: SparkSession, board: str, crawled_at: Column, since: str | None = None, max_pages: int | None = None, expected: int = 10) -> Listing:
-    pages = L.read_html_pages(spark, board)
+def ssb(spark: SparkSession, board: DataFrame | str, crawled_at: Column, since: str | None = None, max_pages: int | None = None, expected: int = 10) -> Listing:
+    pages, blocked = html_pages(spark, board)
     posts = materialise(L.ssb_board(pages, crawled_at), "posts")
     kept = paging.until_stop(posts, ["source_id"], F.col("raw")["posted"], since, max_pages)
     facts = paging.page_facts(kept, ["source_id"])
     thin, rows = paging.thin_pages(facts, expected).count(), dedup.keep_first(kept, KEY, ORDER)
-    outcome = C.thin_outcome(F.col("thin"), F.col("first_rows"), F.lit(False))
+    outcome = C.or_manual(F.lit(blocked), C.thin_outcome(F.col("thin"), F.col("first_rows"), F.lit(False)))
     cover = outcome_row(spark, "seoulshinbo", thin=thin, first_rows=first_page_rows(pages, posts), collected=rows.count(), outcome=outcome)
     return Listing(rows, cover)
 
 
-def gov24(spark: SparkSession, path: str, as_of: Column, crawled_at: Column, needle: str | None = None, max_pages: int | None = None) -> Listing:
-    """The open API: filtered first, then repeated rows keep the last values; coverage counts what came before the filter."""
-    pages = capped(L.read_json_pages(spark, path, S.API_PAGE), max_pages)
+def gov24(spark: SparkSession, path: DataFrame | str, as_of: Column, crawled_at: Column, needle: str | None = None, max_pages: int | None = None) -> Listing:
+    """The open API: filtered first, then repeated rows keep the last values; coverage counts what came before the filter.
+
+    The source needs a key, so a survey without one has no answers: it is inactive, not failed.
+    """
+    pages = capped(json_pages(spark, path, S.API_PAGE), max_pages)
     rows = L.gov24_services(pages, as_of, crawled_at, needle)
     kept = dedup.keep_last(rows, KEY, ORDER)
     known = L.gov24_services(pages, as_of, crawled_at).where("pos = 0").agg(F.min("page")).first()[0]
     facts = pages.agg(F.min("page").alias("first"), F.sum(F.size("data")).alias("fetched"), F.min_by("totalCount", "page").alias("total"), F.min_by(F.size("data"), "page").alias("first_rows")).first()
     outcome = C.api_outcome(F.col("total"), F.col("fetched"), F.col("collected"), F.col("first_rows"), F.col("known"), bool(needle), bool(max_pages))
+    outcome = F.lit(C.INACTIVE) if facts.first is None else outcome
     cover = outcome_row(spark, "gov24", total=facts.total, fetched=facts.fetched, collected=kept.count(), first_rows=facts.first_rows, known=bool(known is not None and known == facts.first), outcome=outcome)
     return Listing(kept, cover)
 
@@ -134,11 +159,11 @@ def board_details(pages: DataFrame, source: str) -> DataFrame:
 
 
 def with_attachments(details: DataFrame, attachments: DataFrame, portal: bool = True) -> DataFrame:
-    """Details with their attachments (source_id, attachment struct): complete ones get the hash of body and files.
+    """Details with their attachments (source_id, attachment struct and, if known, pos), in order of pos: complete ones get the hash of body and files.
 
     Incomplete ones keep the hash of the body alone if ``portal``, and lose it otherwise, where the formula always covers the files.
     """
-    files = attachments.groupBy("source_id").agg(F.collect_list("attachment").alias("attachments"))
+    files = attachments.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*(c for c in ("pos", "attachment") if c in attachments.columns)))), lambda x: x["attachment"]).alias("attachments"))
     rows = details.drop("attachments", "attachments_complete").join(files, "source_id", "left")
     rows = rows.withColumn("attachments", F.coalesce("attachments", F.array().cast(files.schema["attachments"].dataType))).withColumn("attachments_complete", complete(F.col("attachments")))
     hashes = F.array_compact(F.transform("attachments", lambda a: a["sha256"]))
@@ -156,7 +181,7 @@ def merge(listing: DataFrame, details: DataFrame) -> DataFrame:
 
 def compare_surveys(spark: SparkSession, old: str, new: str, old_profile: str | None = None, new_profile: str | None = None, incremental: Sequence[str] = ()) -> DataFrame:
     """The diff of two snapshot folders; profiles are given as texts."""
-    before, after = snapshots.checked(snapshots.read_snapshot(spark, old)), snapshots.checked(snapshots.read_snapshot(spark, new))
+    before, after = (snapshots.checked(materialise(snapshots.read_snapshot(spark, path), "snapshot")) for path in (old, new))  # parsed once
     if after.isEmpty():
         raise snapshots.SnapshotError("the new snapshot is empty")
     return diff.compare(before, after, snapshots.carry_over_invalid(old_profile, new_profile), incremental)

@@ -41,7 +41,11 @@ FIELD_KEYS = {
     "field": ("서비스분야",),
 }
 
-PAGE_NUMBER = r"(\d+)[^/]*$"
+#: Rows of the portal's table, links in them, and posts of the two boards.
+PORTAL_ROW = r"<tr>[\s\S]*?</tr>"
+PORTAL_LINK = r'href\s*=\s*"([^"]*pblancId=(PBLN_\d+)[^"]*)"[^>]*>\s*([\s\S]*?)</a>'
+FANFAN_POST = r"""detailPage\('(\d+)'\);?"[^>]*class="title"[^>]*>([\s\S]*?)</a>[\s\S]*?<span class="date">([^<]*)</span>"""
+SSB_POST = r"""goView\('\d+',\s*'(\d+)'\)"><span class="ellipsis">([\s\S]*?)</span></a></td>([\s\S]*?)</tr>"""
 
 
 def page_number() -> Column:
@@ -144,9 +148,8 @@ def cell(i: int) -> Column:
 
 def bizinfo_notices(pages: DataFrame, as_of: Column, crawled_at: Column) -> DataFrame:
     """Announcements of the portal's table: rows that link to a detail page."""
-    link = r'href\s*=\s*"([^"]*pblancId=(PBLN_\d+)[^"]*)"[^>]*>\s*([\s\S]*?)</a>'
-    rows = pages.select("page", F.posexplode(F.regexp_extract_all("body", F.lit(r"<tr>[\s\S]*?</tr>"), 0)).alias("pos", "row")).where(F.col("row").rlike(link))
-    parts = rows.select("page", "pos", F.regexp_extract("row", link, 2).alias("number"), X.clean(F.regexp_extract("row", link, 3)).alias("name"), cells_of(F.col("row")).alias("cells"))
+    rows = pages.select("page", F.posexplode(F.regexp_extract_all("body", F.lit(PORTAL_ROW), 0)).alias("pos", "row")).where(F.col("row").rlike(PORTAL_LINK))
+    parts = rows.select("page", "pos", F.regexp_extract("row", PORTAL_LINK, 2).alias("number"), X.clean(F.regexp_extract("row", PORTAL_LINK, 3)).alias("name"), cells_of(F.col("row")).alias("cells"))
     parts = parts.withColumn("period", X.split_period(cell(3), cleaned=True))
     number, end = F.col("number"), F.col("period.end")
     return parts.select(
@@ -201,9 +204,8 @@ def board_rows(pages: DataFrame, pattern: str) -> DataFrame:
 
 def fanfan_board(pages: DataFrame, crawled_at: Column) -> DataFrame:
     """Posts of the notice board; they carry no period, so their status is unknown."""
-    pattern = r"""detailPage\('(\d+)'\);?"[^>]*class="title"[^>]*>([\s\S]*?)</a>[\s\S]*?<span class="date">([^<]*)</span>"""
-    rows = board_rows(pages, pattern)
-    number, name, date = (F.regexp_extract("row", pattern, i) for i in (1, 2, 3))
+    rows = board_rows(pages, FANFAN_POST)
+    number, name, date = (F.regexp_extract("row", FANFAN_POST, i) for i in (1, 2, 3))
     key = F.concat(F.lit("ntc-"), number)
     return rows.select(
         "page",
@@ -224,9 +226,8 @@ def fanfan_board(pages: DataFrame, crawled_at: Column) -> DataFrame:
 
 def ssb_board(pages: DataFrame, crawled_at: Column) -> DataFrame:
     """Posts of the guarantee fund's board. Its markup holds every post twice, for two kinds of screens: the first on a page counts."""
-    pattern = r"""goView\('\d+',\s*'(\d+)'\)"><span class="ellipsis">([\s\S]*?)</span></a></td>([\s\S]*?)</tr>"""
-    rows = board_rows(pages, pattern)
-    parts = rows.select("page", "pos", F.regexp_extract("row", pattern, 1).alias("number"), X.clean(F.regexp_extract("row", pattern, 2)).alias("name"), cells_of(F.regexp_extract("row", pattern, 3)).alias("cells"))
+    rows = board_rows(pages, SSB_POST)
+    parts = rows.select("page", "pos", F.regexp_extract("row", SSB_POST, 1).alias("number"), X.clean(F.regexp_extract("row", SSB_POST, 2)).alias("name"), cells_of(F.regexp_extract("row", SSB_POST, 3)).alias("cells"))
     first = parts.groupBy("page", "number").agg(F.min_by(F.struct("pos", "name", "cells"), "pos").alias("first")).select("page", "number", "first.*")
     dates = F.filter(F.transform("cells", lambda c: X.norm_date(c, cleaned=True)), lambda d: d.rlike(r"^\d{4}-\d{2}-\d{2}$"))
     number, key = F.col("number"), F.concat(F.lit("ntc-"), F.col("number"))

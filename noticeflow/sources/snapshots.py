@@ -35,10 +35,10 @@ def collected_file(name: Column) -> Column:
     return ~other
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+def read_snapshot(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """Announcements of all collected files of a folder. Rows of diff results and of screening files are left out."""
     extra = T.StructType([*ANNOUNCEMENT.fields, T.StructField("kind", T.StringType()), T.StructField("record", T.StringType()), T.StructField("screening", T.StringType())])
-    rows = spark.read.schema(extra).json(f"{path}/*.jsonl").where(collected_file(F.col("_metadata.file_name")))
+    rows = spark.read.schema(extra).json(f"{path}/{pattern}").where(collected_file(F.col("_metadata.file_name")))
     rows = rows.where(~(F.col("kind").isNotNull() & F.col("record").isNotNull()) & ~(F.col("screening").isNotNull() & F.col("title").isNull()))
     return rows.select(*ANNOUNCEMENT.names)
 

@@ -202,3 +202,22 @@ def test_board_links(apply):
     board = """<a onclick="common.download(1, 'ab-1')"><span class="e">붙임%201.hwp</span></a><a onclick="common.download(1,'cd-2')"><img alt=""> 둘.pdf</a><a onclick="common.download(1, 'ab-1')">"""
     got = apply(lambda c: links.board_links(c, "seoulshinbo", F.lit("12")), board, None)
     assert [[x.filename for x in r] for r in got] == [["붙임 1.hwp", "둘.pdf"], []] and got[0][0].url.endswith("/download/12/ab-1.do?mng_cd=STRY9788")
+
+
+def test_stored_names_never_take_the_place_of_another(spark):
+    rows = [("d", "a.pdf", "h1", 1), ("d", "a.pdf", "h2", 2), ("d", "a-1.pdf", "h3", 3), ("d", "a-1.pdf", "h2", 4), ("d", "a.pdf", "h3", 5), ("d", "a.pdf", "h1", 6), (None, "a.pdf", "h9", 1), ("d", None, "h4", 7), ("d", "attach", "h5", 8), ("d", "x", None, 9)]
+    df = spark.createDataFrame(rows, "folder string, name string, digest string, at int")
+    got = {(r.folder, r.name, r.digest, r.at): r.stored_name for r in A.stored_names(df, "folder", "name", "digest", "at").collect()}
+    assert [got[r] for r in rows] == ["a.pdf", "a-1.pdf", "a-1-1.pdf", "a-1.pdf", "a-2.pdf", "a.pdf", "a.pdf", "attach", "attach-1", None]
+    import random
+
+    rng = random.Random(1)
+    for _ in range(300):
+        names, own = A.Names(), {}
+        for _ in range(25):
+            name, content = rng.choice(["a.b", "a-1.b", "a-2.b", "a-1-1.b", "c", "c-1", "a.1-1"]), rng.choice("uvwxyz")
+            n = 0
+            while (form := A.numbered(name, n)) in own and own[form] != content:
+                n += 1
+            own[form] = content
+            assert names.give(name, content) == form
