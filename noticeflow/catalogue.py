@@ -60,7 +60,7 @@ def strip_html_hash(spark, sf_dir):
 
 @query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '<title[^>]*>([\s\S]*?)</title>', 1), '[ \t\r\f\n]+', ' ', 'g')) as title from pages""")
 def page_title(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.squeeze(F.regexp_extract("html", r"<title[^>]*>([\s\S]*?)</title>", 1)).alias("title"))
+    return table(spark, sf_dir, "pages").select("page_id", P.title_of(F.col("html")).alias("title"))
 
 
 @query(r"""
@@ -68,7 +68,7 @@ def page_title(spark, sf_dir):
       select page_id, links, unnest(generate_series(1, len(links))) as i from (select page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) as links from pages))
 """)
 def page_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("pos", "href"))
+    return table(spark, sf_dir, "pages").select("page_id", F.posexplode(P.hrefs(F.col("html"))).alias("pos", "href"))
 
 
 @query(r"""
@@ -257,11 +257,6 @@ def order_listing(spark: SparkSession, sf_dir: str, keep: Column | None = None)
 
 
 def line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of every third order as the attachments of its detail, as LINES_SQL has them."""
-    return details_of(table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0"))
-
-
-def all_line_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every order as the attachments of its detail."""
     return details_of(table(spark, sf_dir, "lineitem"))
 
@@ -280,10 +275,6 @@ def details_of(lines: DataFrame) -> DataFrame:
 
 
 LINES_SQL = """(select cast(l_orderkey as varchar) as source_id,
-  sha256('order ' || l_orderkey || chr(10) || array_to_string(list_sort(list(l_partkey || '-' || l_linenumber)), chr(10))) as content_hash,
-  bool_and(l_returnflag <> 'R') as attachments_complete, count(*) as n_files from lineitem where l_orderkey % 3 = 0 group by l_orderkey)"""
-
-ALL_LINES_SQL = """(select cast(l_orderkey as varchar) as source_id,
   sha256('order ' || l_orderkey || chr(10) || array_to_string(list_sort(list(l_partkey || '-' || l_linenumber)), chr(10))) as content_hash,
   bool_and(l_returnflag <> 'R') as attachments_complete, count(*) as n_files from lineitem group by l_orderkey)"""
 
@@ -315,44 +306,23 @@ def upserted(spark: SparkSession, sf_dir: str, details: DataFrame) -> DataFrame:
     return merged.join(own, "source_id").select(F.col("priority").alias("source"), "source_id", "content_hash", "hash_version", "attachments_complete")
 
 
-@query("""select distinct cast(l_orderkey as varchar) as source_id from lineitem where l_orderkey % 3 = 0 and l_orderkey not in (select o_orderkey from orders where o_orderkey % 2 = 0)""")
+@query("""select distinct cast(l_orderkey as varchar) as source_id from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 2 = 0)""")
 def upsert_unmatched(spark, sf_dir):
     listing = order_listing(spark, sf_dir, F.col("o_orderkey") % 2 == 0).withColumn("source", F.lit("s"))
     return upserts.unmatched(listing, line_details(spark, sf_dir).withColumn("source", F.lit("s"))).select("source_id")
 
 
-@query(f"select source_id, attachments_complete, n_files from {ALL_LINES_SQL}")
-def attachments_complete_all(spark, sf_dir):
-    return all_line_details(spark, sf_dir).select("source_id", "attachments_complete", "n_files")
-
-
-@query(f"select source_id, content_hash from {ALL_LINES_SQL}")
-def attachment_hash_sorted_all(spark, sf_dir):
-    return all_line_details(spark, sf_dir).select("source_id", "content_hash")
-
-
-@query(f"""
-    select o_orderpriority as source, o.o_orderkey as source_id, d.content_hash, cast(case when d.content_hash is not null then 2 end as integer) as hash_version, coalesce(d.attachments_complete, false) as attachments_complete
-    from (select o_orderpriority, o_orderstatus, cast(o_orderkey as varchar) as o_orderkey from orders) o left join {ALL_LINES_SQL} d on d.source_id = o.o_orderkey and o.o_orderstatus <> 'P'
-""")
-def detail_upsert_all(spark, sf_dir):
-    return upserted(spark, sf_dir, all_line_details(spark, sf_dir))
-
-
-@query("""select distinct cast(l_orderkey as varchar) as source_id from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 2 = 0)""")
-def upsert_unmatched_all(spark, sf_dir):
-    listing = order_listing(spark, sf_dir, F.col("o_orderkey") % 2 == 0).withColumn("source", F.lit("s"))
-    return upserts.unmatched(listing, all_line_details(spark, sf_dir).withColumn("source", F.lit("s"))).select("source_id")
-
-
 @query("""
-    select source, left(text, 12) as name, text_hash, case when n = 1 then left(text, 12) else left(text, 12) || '-' || (n - 1) end as stored_name from (
-      select source, any_value(text) as text, sha256(text) as text_hash, row_number() over (partition by source, left(any_value(text), 12) order by min(doc_id), sha256(text)) as n from documents group by source, sha256(text))
+    select source, name, text_hash, case when n = 1 then name when name = 'a-1.pdf' then 'a-1-' || (n - 1) || '.pdf' else name[:-5] || '-' || (n - 1 + extra) || '.pdf' end as stored_name from (
+      select source, name, text_hash, row_number() over (partition by source, name order by first, text_hash) as n, case when name = 'a.pdf' then 1 else 0 end as extra from (
+        select source, case when doc_id % 3 = 0 then 'a-1.pdf' when doc_id % 3 = 1 then 'a.pdf' else 'b.' || lang || '.pdf' end as name, sha256(text || doc_id % 3) as text_hash, min(doc_id % 3 * 1000000000 + doc_id) as first from documents group by all))
 """)
 def no_clobber_suffix(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select("source", F.regexp_replace(F.substring("text", 1, 12), r"\.", "․").alias("name"), X.body_hash(F.col("text")).alias("text_hash"), "doc_id")
-    named = stored_names(files, "source", "name", "text_hash", "doc_id").select("source", "name", "text_hash", "stored_name").distinct()
-    return named.select("source", *(F.regexp_replace(c, "․", ".").alias(c) for c in ("name",)), "text_hash", F.regexp_replace("stored_name", "․", ".").alias("stored_name"))
+    """Three names, of which the first one that arrives is what the second one would be called the second time: no content takes the place of another."""
+    third, key = F.col("doc_id") % 3, F.col("doc_id")
+    name = F.when(third == 0, "a-1.pdf").when(third == 1, "a.pdf").otherwise(F.concat(F.lit("b."), F.col("lang"), F.lit(".pdf")))
+    files = table(spark, sf_dir, "documents").select("source", name.alias("name"), F.sha2(F.concat("text", third.cast("string")), 256).alias("text_hash"), (third * 1000000000 + key).alias("at"))
+    return stored_names(files, "source", "name", "text_hash", "at").select("source", "name", "text_hash", "stored_name").distinct()
 
 
 # ---------------------------------------------------------------- snapshots
@@ -488,19 +458,6 @@ def report_order(spark, sf_dir):
     return report.ordered(report.deadline_list(rows, as_of(), "open_conditions")).select("source_id", "section", "rank", "days_left")
 
 
-@query("""
-    with recursive d as (select doc_id, 'a' || sha256(text) as a, 'b' || source || '/' || (n_chars // 40) as b from documents where n_chars < 400),
-    e as (select x.doc_id as u, y.m as v from d x join (select a, min(doc_id) as m from d group by a) y on x.a = y.a union select x.doc_id, y.m from d x join (select b, min(doc_id) as m from d group by b) y on x.b = y.b),
-    s as (select u, v from e union select v, u from e),
-    r(u, v) as (select doc_id, doc_id from d union select r.u, s.v from r join s on s.u = r.v)
-    select u as doc_id, min(v) as component from r group by u
-""")
-def same_program_groups(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("n_chars < 400")
-    rows = docs.select("doc_id", X.body_hash(F.col("text")).alias("text_key"), F.concat_ws("/", "source", F.floor(F.col("n_chars") / 40).cast("string")).alias("place_key"))
-    return components.groups_by_keys(rows, "doc_id", ["text_key", "place_key"])
-
-
 @query(r"""
     with recursive d as (select doc_id, 'a' || sha256(text) as a, 'b' || nullif(trim(regexp_replace(split_part(text, chr(10), 1), '[ \t\r\f\v\n]+', ' ', 'g')), '') as b from documents),
     e as (select x.doc_id as u, y.m as v from d x join (select a, min(doc_id) as m from d group by a) y on x.a = y.a union select x.doc_id, y.m from d x join (select b, min(doc_id) as m from d group by b) y on x.b = y.b),
@@ -508,16 +465,23 @@ def same_program_groups(spark, sf_dir):
     r(u, v) as (select doc_id, doc_id from d union select r.u, s.v from r join s on s.u = r.v)
     select u as doc_id, min(v) as component from r group by u
 """)
-def same_program_groups_all(spark, sf_dir):
-    """All documents, by their text and by their first line; same_program_groups has short documents only, as its SQL does."""
+def same_program_groups(spark, sf_dir):
+    """All documents, by their text and by their first line."""
     line = X.empty_to_null(X.squeeze(F.substring_index("text", "\n", 1)))
     rows = table(spark, sf_dir, "documents").select("doc_id", X.body_hash(F.col("text")).alias("text_key"), X.body_hash(line).alias("line_key"))
     return components.groups_by_keys(rows, "doc_id", ["text_key", "line_key"])
 
 
+def load() -> None:
+    """Register the queries of the other module, which needs this one."""
+    from noticeflow import catalogue_pages  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return {name: f for name, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return {name: sql.strip() for name, (_, sql) in _found.items() if sql}

@@ -466,3 +466,33 @@ def test_shared_folder(spark, tmp_path):
 
     with pytest.raises(RuntimeError):
         storage.shared_dir(Cluster)
+
+
+def test_order_of_the_report_by_type(spark):
+    rows = [("s", str(i), t, v) for i, (t, v) in enumerate([("advisory", "확인됨"), ("grant", "신청 불가"), (None, "확인됨"), ("grant", "확인됨"), ("loan", "조건부"), ("grant", None)])]
+    got = report.ordered_by_type(spark.createDataFrame(rows, "source string, source_id string, primary_type string, verdict string")).collect()
+    assert [r.source_id for r in got] == ["3", "1", "5", "4", "0", "2"]
+
+
+def test_details_on_the_command_line(spark, tmp_path):
+    from noticeflow import __main__ as cli
+
+    listing = tmp_path / "l"
+    spark.createDataFrame([("PBLN_1", "x"), ("PBLN_2", "y")], "source_id string, title string").select(*listings.record(source="bizinfo", source_id=F.col("source_id"), title=F.col("title"))).write.json(f"file://{listing}")
+    page = """<script>var altUrl = location.origin + location.pathname + "?pblancId={}";</script><div class="view_cont">본문</div>"""
+    pages = land(tmp_path / "p", PBLN_1=page.format("PBLN_1"), PBLN_2=page.format("PBLN_9"))
+    run = lambda source, folder, out: cli.main(["detail", source, f"file://{listing}", folder, "--out", f"file://{tmp_path}/{out}"], spark)
+    assert run("bizinfo", pages, "o") == 2
+    got = {r.source_id: r for r in spark.read.schema(schema.ANNOUNCEMENT).json(f"file://{tmp_path}/o").collect()}
+    assert got["PBLN_1"].hash_version == 2 and got["PBLN_1"].content_hash and got["PBLN_2"].content_hash is None
+    assert run("bizinfo", land(tmp_path / "q", PBLN_1="<p>로그인이 필요합니다"), "o2") == 3
+    assert run("bizinfo", land(tmp_path / "r", PBLN_1=page.format("PBLN_1")), "o3") == 0
+
+
+def test_both_modes_and_withheld_pages_on_the_command_line(spark, tmp_path):
+    from noticeflow import __main__ as cli
+
+    one, two = land(tmp_path / "a", page1=envelope(1, notice(1))), land(tmp_path / "b", page1=envelope(2, notice(2)))
+    assert cli.main(["list", "all", one, two, "--out", f"file://{tmp_path}/o"], spark) == 2
+    assert {(r.source, r.source_id) for r in spark.read.schema(schema.ANNOUNCEMENT).json(f"file://{tmp_path}/o").collect()} == {("sbiz24", "1"), ("sbiz24_combine", "2")}
+    assert cli.main(["list", "seoulshinbo", land(tmp_path / "s", p1="captcha"), "--out", f"file://{tmp_path}/s1"], spark) == 3
