@@ -414,7 +414,7 @@ def test_groups_of_all_documents(spark, tmp_path):
             if key != ("line", ""):
                 a, b = root(i), root(first.setdefault(key, i))
                 parent[max(a, b)] = min(a, b)
-    got = {r.doc_id: r.component for r in catalogue.same_program_groups_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.component for r in catalogue.same_program_groups(spark, str(tmp_path)).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
     assert got[61] == 60
 
@@ -425,11 +425,11 @@ def test_details_of_all_orders(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_returnflag").collect()
     orders = {str(r.l_orderkey) for r in lines}
     failed = {str(r.l_orderkey) for r in lines if r.l_returnflag == "R"}
-    assert {r.source_id: r.attachments_complete for r in catalogue.attachments_complete_all(spark, sf).collect()} == {k: k not in failed for k in orders}
-    assert {r.source_id for r in catalogue.attachment_hash_sorted_all(spark, sf).collect()} == orders
-    assert {r.source_id for r in catalogue.upsert_unmatched_all(spark, sf).collect()} == {k for k in orders if int(k) % 2}
+    assert {r.source_id: r.attachments_complete for r in catalogue.attachments_complete(spark, sf).collect()} == {k: k not in failed for k in orders}
+    assert {r.source_id for r in catalogue.attachment_hash_sorted(spark, sf).collect()} == orders
+    assert {r.source_id for r in catalogue.upsert_unmatched(spark, sf).collect()} == {k for k in orders if int(k) % 2}
     done = {str(r.o_orderkey) for r in spark.read.parquet(f"{sf}/orders.parquet").where("o_orderstatus <> 'P'").select("o_orderkey").collect()}
-    assert {r.source_id for r in catalogue.detail_upsert_all(spark, sf).collect() if r.content_hash} == orders & done
+    assert {r.source_id for r in catalogue.detail_upsert(spark, sf).collect() if r.content_hash} == orders & done
 
 
 def test_partial_screening_and_type_sections(spark):
