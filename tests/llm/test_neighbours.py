@@ -61,22 +61,56 @@ def test_a_crowd_of_nearly_equal_vectors(spark):
     assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) > 0.97
 
 
-def test_queries_in_parts(spark, monkeypatch):
+def test_slices_and_parts(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     whole = sorted(N.search(df, F.col("vec_id") % 10 == 0).collect())
-    monkeypatch.setattr(N, "QUERIES", 7)
+    monkeypatch.setattr(N, "SLICE", 30)
+    monkeypatch.setattr(N, "PART", 4)
     assert sorted(N.search(df, F.col("vec_id") % 10 == 0).collect()) == whole
 
 
 def test_parallel_error_is_smaller():
-    x = np.random.default_rng(2).normal(size=(3000, 16))
-    q = N.fit(x)
-    plain = N.Quantiser(q.centres, q.dim)
-    scored, _ = N.assign(x, q.centres, 2, 200)
-    nearest, _ = N.assign(x, plain.centres, 0, 200)
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-
-    def along(codes):
-        return (((x - q.centres[np.arange(8), codes].reshape(len(x), -1)) * u).sum(axis=1) ** 2).mean()
-
-    assert along(scored) < along(nearest)
+    for dim in (3, 16, 64):
+        x = np.random.default_rng(2).normal(size=(3000, dim))
+        q = N.fit(x)
+        x = q.pad(x)
+        scored, _ = N.assign(x, q.centres, 2, dim)
+        nearest = np.stack([((x[:, None, 2 * s : 2 * s + 2] - c) ** 2).sum(axis=2).argmin(axis=1) for s, c in enumerate(q.centres)], axis=1)
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+
+        def along(codes):
+            return (((x - q.centres[np.arange(len(q.centres)), codes].reshape(len(x), -1)) * u).sum(axis=1) ** 2).mean()
+
+        assert along(scored) < along(nearest) and N.eta(dim) >= 2
+    assert N.eta(1) == 2 and abs(N.eta(64) - 63 * 0.04 / 0.96) < 1e-9
+
+
+def test_tables_add_up_to_products():
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(200, 10)), rng.normal(size=(5, 10))
+    quantiser = N.fit(x)
+    codes, tables = quantiser.encode(x), quantiser.tables(q)
+    four = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(x), -1)
+    chosen = quantiser.centres[np.arange(len(quantiser.centres)), four].reshape(len(x), -1)
+    got = sum(tables[:, byte][:, codes[:, byte]] for byte in range(codes.shape[1]))
+    assert np.abs(got - quantiser.pad(q) @ chosen.T).max() < 1e-5
+
+
+def test_repeated_rows_each_have_their_list(spark):
+    rows = [(i, [float(i), 1.0], 0, "a") for i in range(30)] + [(7, [7.0, 1.0], 0, "a"), (9, [9.0, 1.0], 0, "a"), (7, [7.5, 1.0], 0, "a")]
+    got = N.search(frame(spark, rows), F.col("vec_id") == 7, k=4).collect()
+    lists = sorted([r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.rank <= 4 and r.query_id == 7])
+    assert len(got) == 12 and [sum(r.rank == n for r in got) for n in (1, 2, 3, 4)] == [3] * 4 and not any(r.vec_id == 7 for r in got)
+    assert lists.count(8) == 3 and lists.count(6) == 3 and lists.count(9) == 4
+
+
+def test_recall_on_growing_tables(spark):
+    rng = np.random.default_rng(5)
+    for rows in (300, 3000, 12000):
+        x = rng.normal(size=(rows, 24)).astype(np.float32) + 3 * rng.normal(size=(8, 24))[rng.integers(0, 8, rows)].astype(np.float32)
+        ids = np.arange(rows)
+        want = exact(ids, x, ids[:: rows // 30].tolist())
+        got = {}
+        for r in N.search(frame(spark, [(int(i), v.tolist(), 0, "a") for i, v in zip(ids, x)]), F.col("vec_id") % (rows // 30) == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in want]) >= 0.93
