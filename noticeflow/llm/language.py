@@ -5,7 +5,9 @@ length. Document frequencies are counted over all documents outside the held-out
 follow-the-regularised-leader with elastic-net penalties from a bounded sample of the same documents (``per_label`` of each language); a temperature, fitted on a
 part of the sample that the weights don't see, calibrates the scores.
 
-Predictions depend on the text alone. A null text, and one without a letter, is ``und`` with score 0, as is everything if there is no row to learn from.
+Predictions depend on the text alone, so repeated rows and equal texts get equal ones, whatever their ids, null ids included. A null text, and one without a
+letter, is ``und`` with score 0, as is everything if there is no row to learn from. Ties go to the language that sorts first. Very long texts are counted in
+blocks, whole. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

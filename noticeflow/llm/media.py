@@ -4,7 +4,9 @@ A payload is kept losslessly as the samples of an 8-bit mono WAV. Fingerprints p
 64-bit number, the anchor's frame in the upper 32 bits and both frequencies and their distance in the lower ones. Frames are transformed in blocks that
 overlap by the pairs' reach, so memory doesn't grow with a text.
 
-Edge cases: a null text is empty; an empty text has one block of zero bytes as payload, which is silence without peaks, so its array is empty.
+Edge cases: a null text is empty; an empty text has one block of zero bytes as payload, which is a constant without peaks, so its array is empty. Of equal
+magnitudes the lower bin is the peak. Equal texts have equal media, whatever their ids, null and repeated ones included; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

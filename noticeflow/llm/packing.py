@@ -6,7 +6,10 @@ with a segment tree over the remaining capacities that finds the tightest non-em
 of one remaining capacity are placed together, as the algorithm would place them one after another. The plan is a list of runs; a piece finds its bin by its
 length and its number among the pieces of that length, so no group of pieces is ever gathered in one task.
 
-Edge cases: a null text counts as empty; every document ends with the end token, so an empty one is a piece of length 1.
+Edge cases: a null text counts as empty; every document ends with the end token, so an empty one is a piece of length 1. Repeated rows and null ids are pieces
+of their own; rows that agree in all that is compared get distinct places in any order, and ties of length go by key. A long text is cut into pieces of the
+capacity; extra columns are ignored; an empty table has no pieces. Words of up to 1000 characters that aren't cached are encoded by a library, longer ones by
+``bpe``, which gives the same ids without the library's limits (the tests compare them).
 """
 
 from __future__ import annotations

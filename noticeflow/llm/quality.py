@@ -5,8 +5,10 @@ the average of all of them over its whole text (with PRIOR zero vectors, so that
 the word REPEAT, since the repetition of a rare word shows in no word's own vector. A softmax layer gives the label. Both layers are learned by stochastic gradient descent in numpy.
 As the output is linear in the average, a trained model needs only each row's two logits: words' sums are cached in a cache of bounded size.
 
-Learns from a bounded sample (``per_label`` documents of each label) outside the held-out fold. Scores depend on the text alone; a null or empty text has no
-words, so its score is that of the bias; without training rows all scores are 1, since nothing speaks against a document.
+Learns from a bounded sample (``per_label`` documents of each label) outside the held-out fold. Scores depend on the text alone, so repeated rows and equal
+texts get equal ones, null ids included; a null or empty text has no words, so its score is that of the bias; without training rows all scores are 1, since
+nothing speaks against a document. A score that equals the threshold is predicted 1. Texts are read whole; an empty table gives no rows; scores() has the key
+and its own columns only, and keep() all columns of its input as they are.
 """
 
 from __future__ import annotations

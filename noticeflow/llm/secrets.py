@@ -9,7 +9,8 @@ The method adds ``github`` and ``npm`` (six base-62 digits of CRC-32 over the re
 What follows a number may look like more of it, so shorter ends are tried too: for an IBAN first the length of its country, for a card from the longest down.
 Offsets count code points; ends are exclusive.
 
-Edge cases: a null text is empty and has no spans; overlapping spans of different kinds are all reported.
+Edge cases: a null text is empty and has no spans; overlapping spans of different kinds are all reported, ties of start in the order of kinds. Long texts are
+scanned whole; repeated rows and null ids are rows like others; extra columns are ignored, and kept by redact(); an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ Each shard draws a number for a key, -ln(u) / weight with u from a hash of shard
 many shards there are, so a new shard takes rows only into itself, about its share of the weights. All of it is built-in expressions.
 
 Edge cases: a null key is a key like any other (all null keys go to one shard); a null text has no bytes and the checksum 0; ties go to the lower shard.
+Rows that repeat a key share its shard and have slots of their own, in any order where all else is equal too. Extra columns are ignored; no rows give none.
 """
 
 from __future__ import annotations

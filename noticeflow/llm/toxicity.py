@@ -3,8 +3,10 @@
 Features are the distinct hashes of a text's words, of neighbouring words and of words with one or two others between (lower case, ASCII punctuation as white
 space). Per-coordinate rates and the L1 penalty leave a small number of non-zero weights, which are broadcast: at most 2 ** BITS of them, whatever the input.
 
-Learns from a bounded sample (``per_label`` documents of each label) outside the held-out fold. Scores depend on the text alone; a null or empty text has no
-features, so its score is that of the intercept; without training rows all scores are 0.
+Learns from a bounded sample (``per_label`` documents of each label) outside the held-out fold. Scores depend on the text alone, so repeated rows and equal
+texts get equal ones, null ids included; a null or empty text has no features, so its score is that of the intercept; without training rows all scores are 0.
+A score that equals the threshold is predicted 1, and keep() drops it. Texts are read whole; an empty table gives no rows; scores() has the key and its own
+columns only, and keep() all columns of its input as they are.
 """
 
 from __future__ import annotations
