@@ -686,6 +686,18 @@ def incremental_append(spark, sf_dir):
     return spark.read.parquet(out).groupBy(F.col("source").cast("string").alias("source")).agg(F.count("*").alias("n"))
 
 
+@query("""select o_orderpriority as source, cast(o_orderkey as varchar) as source_id, case when o_orderkey % 3 = 0 then 'later' else 'order ' || o_orderkey end as title from orders""")
+def incremental_upsert(spark, sf_dir):
+    """A second landing repeats every third announcement with another title: the later row counts, and the others stay."""
+    landed, base, checkpoint = (work_dir(spark, n) for n in ("landed", "upserted", "offsets"))
+    rows = order_listing(spark, sf_dir).withColumn("crawled_at", F.lit("2026-01-01"))
+    again = rows.where(F.col("source_id").cast("long") % 3 == 0).withColumn("title", F.lit("later")).withColumn("crawled_at", F.lit("2026-01-02"))
+    for part in (rows, again):
+        part.write.mode("append").json(landed)
+        ingest.upsert(ingest.announcements(spark, landed), base, checkpoint, 8).awaitTermination()
+    return ingest.current(spark, base, ingest.announcements(spark, landed).schema).select("source", "source_id", "title")
+
+
 # ---------------------------------------------------------------- programmes, verdicts and reports
 
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from noticeflow.operators import dedup
 from noticeflow.schema import ANNOUNCEMENT
 
+#: Parts of the table of upsert(), by a hash of the key.
+BUCKETS = 64
+
 
 def announcements(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
     """A stream of the JSON-lines files of a folder, each file once."""
@@ -21,17 +25,35 @@ def append(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").partitionBy("source").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert(stream: DataFrame, base: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest row of every key: each batch is merged into a new version of the table below ``base``.
+def current(spark: SparkSession, base: str, schema: T.StructType, before: int | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    """The table that upsert() keeps below ``base``: each bucket's files of its latest batch (of those before a number), of all buckets or some."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(base).select(
+        F.regexp_extract("path", r"/batch=(\d+)/", 1).cast("int").alias("batch"), F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int").alias("bucket")
+    )
+    if before is not None:
+        found = found.where(F.col("batch") < before)
+    if buckets is not None:
+        found = found.join(F.broadcast(buckets), "bucket")
+    latest = found.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # BUCKETS rows at most
+    paths = [f"{base}/batch={r.batch}/bucket={r.bucket}" for r in latest]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert(stream: DataFrame, base: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Keep the latest row of every key: a batch rewrites the buckets, by a hash of the key, that its rows fall into, and leaves the others as they are.
 
-    Versions are named by batch, so a batch that is repeated after a failure writes the same version again.
+    What a batch writes is named by its number and made from earlier numbers only, so a batch that is repeated after a failure writes the same again. Files of
+    a bucket that a later batch has rewritten are kept until somebody deletes them: readers by current() never look at them.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{base}/v={number - 1}"
-        rows = batch if number == 0 else spark.read.schema(batch.schema).parquet(before).unionByName(batch)
-        dedup.keep_last(rows.withColumn("seen", F.coalesce("crawled_at", F.lit(""))), ["source", "source_id"], ["landed", "seen"]).drop("seen").write.mode("overwrite").parquet(f"{base}/v={number}")
+        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("source", "source_id"), F.lit(buckets)).cast("int"))
+        if number:
+            touched = rows.select("bucket").distinct()
+            rows = rows.unionByName(current(spark, base, batch.schema, number, touched).withColumn("bucket", F.pmod(F.xxhash64("source", "source_id"), F.lit(buckets)).cast("int")))
+        kept = dedup.keep_last(rows.withColumn("seen", F.coalesce("crawled_at", F.lit(""))), ["source", "source_id"], ["landed", "seen"]).drop("seen")
+        kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch={number}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

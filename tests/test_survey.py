@@ -328,7 +328,12 @@ def test_streams(record, spark, tmp_path):
     ingest.append(ingest.announcements(spark, str(source)), table, str(tmp_path / "c1")).awaitTermination()
     ingest.upsert(ingest.announcements(spark, str(source)), str(tmp_path / "u"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(table).count() == 3
-    assert {r.source_id: r.title for r in spark.read.parquet(str(tmp_path / "u/v=1")).collect()} == {"1": "new", "2": "t"}
+    made = ingest.announcements(spark, str(source)).schema
+    assert {r.source_id: r.title for r in ingest.current(spark, str(tmp_path / "u"), made).collect()} == {"1": "new", "2": "t"}
+    record({"source_id": "3"}).write.mode("append").json(str(source))
+    ingest.upsert(ingest.announcements(spark, str(source)), str(tmp_path / "u"), str(tmp_path / "c2")).awaitTermination()
+    assert {r.source_id: r.title for r in ingest.current(spark, str(tmp_path / "u"), made).collect()} == {"1": "new", "2": "t", "3": "t"}
+    assert len(list((tmp_path / "u/batch=2").glob("bucket=*"))) == 1 and ingest.current(spark, str(tmp_path / "u"), made, 1).count() == 1
     days = ingest.counts_by_day(ingest.announcements(spark, str(source)))
     assert days.isStreaming and "EventTimeWatermark" in days._jdf.queryExecution().analyzed().toString()
 
