@@ -175,3 +175,32 @@ def test_candidates_connect_what_the_filters_let_pass(spark):
 
     edges = {(r.a, r.b) for r in jaccard.candidate_edges(spark.createDataFrame(rows, "token long, sid long, size long")).collect()}
     assert edges <= pairs and classes(edges) == classes(pairs) and 10 < len(edges) < len(pairs)
+
+
+@pytest.mark.parametrize("bits", [2, 18])
+def test_what_a_task_leaves_out_stays_connected(spark, monkeypatch, bits):
+    """Postings of one task and of many tasks connect the same sets, whatever a task remembers; one task posts less."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "KNOWN_POSTINGS", bits)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [edited(base[: rng.randrange(90, 120)], rng, rng.randrange(3)) for _ in range(200)]
+    shared = spark.sparkContext.broadcast(np.zeros(1 << 14, np.uint32))
+
+    def found(parts):
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)
+        posts = jaccard.postings(docs, shared, 14, "text")
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for r in jaccard.candidate_edges(posts).collect():
+            parent[root(r.a)] = root(r.b)
+        return posts.where("size > 0").count(), {frozenset(y for y in parent if root(y) == root(x)) for x in parent}
+
+    (few, one), (many, scattered) = found(1), found(200)
+    assert one == scattered and (bits == 2 or few < 0.8 * many)
