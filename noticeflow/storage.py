@@ -27,9 +27,9 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def tasks_for(rows: int) -> int:
+def tasks_for(rows: int, per: int = ROWS_IN_TASK) -> int:
     """How many tasks, and so files, a table of so many narrow rows is worth, whatever the session's number of shuffle partitions."""
-    return max(1, -(-rows // ROWS_IN_TASK))
+    return max(1, -(-rows // per))
 
 
 def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
