@@ -13,6 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from noticeflow.storage import discard, materialise, shared_dir, tasks_for, work_dir  # noqa: F401 - operators take them from here
 
+#: Rows of a result in one task, where its columns are few and short.
+RESULT_ROWS = 100_000
 #: Documents with crc32(doc_id as text) mod FOLDS = HELD_OUT are kept back from training.
 FOLDS = 5
 HELD_OUT = 0

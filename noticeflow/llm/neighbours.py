@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import discard, materialise
+from noticeflow.llm.common import RESULT_ROWS, discard, materialise, tasks_for
 from noticeflow.llm.training import SPACE
 
 FIT = 16384
@@ -328,4 +328,5 @@ def search(vectors: DataFrame, query: Column, k: int = NEIGHBOURS, key: str = "v
     for done in (asked, indexed):
         discard(done)
     rank = F.row_number().over(Window.partitionBy("row").orderBy("score", key))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    ranked = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+    return ranked.coalesce(tasks_for(found.count(), RESULT_ROWS))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeflow.llm import bpe
-from noticeflow.llm.common import gapless_rank, map_arrow, materialise, salt_count
+from noticeflow.llm.common import RESULT_ROWS, gapless_rank, map_arrow, materialise, salt_count, tasks_for
 
 CAPACITY = 1024
 END = 2
@@ -129,7 +129,8 @@ def place(cut: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Data
     """Add sequence_id and offset to pieces. ``cut`` is read three times, so it should be a written table."""
     counts = [(int(n), int(c)) for n, c in cut.groupBy("length").count().collect()]  # at most ``capacity`` rows
     runs = plan(counts, capacity)
-    ranked = gapless_rank(cut, ["length"], [key, "piece", "ids_crc32"], "number", salt_count(sum(c for _, c in counts)))
+    total = sum(c for _, c in counts)
+    ranked = gapless_rank(cut, ["length"], [key, "piece", "ids_crc32"], "number", salt_count(total)).coalesce(tasks_for(total, RESULT_ROWS))
     by_length: dict[int, list] = {}
     for run in runs:
         by_length.setdefault(run[0], []).append(run[1:])

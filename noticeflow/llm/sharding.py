@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from noticeflow.llm.common import gapless_rank, salt_count
+from noticeflow.llm.common import RESULT_ROWS, gapless_rank, salt_count, tasks_for
 
 SHARDS = 24
 
@@ -50,5 +50,5 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id",
     )
     placed = assign(sized, key, [1.0] * shards, [1.0])
     rows = docs.select(key).count()  # from the files' footers
-    ranked = gapless_rank(placed, ["shard"], [key, "size", "text_crc32"], "slot", salt_count(rows // shards))
+    ranked = gapless_rank(placed, ["shard"], [key, "size", "text_crc32"], "slot", salt_count(rows // shards)).coalesce(tasks_for(rows, RESULT_ROWS))
     return ranked.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
