@@ -29,7 +29,7 @@ GRAMS = (2, 3, 4)
 PER_LABEL = 3000
 SEED = 4
 THRESHOLD = 0.3
-CACHED = 400_000
+CACHED = 150_000
 #: Stands for the repetition of a word; it has white space, so no word of a text equals it.
 REPEAT = " repeated"
 PRIOR = 10.0
