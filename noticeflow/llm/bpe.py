@@ -27,8 +27,8 @@ from noticeflow.llm.common import map_arrow
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LONG = 200
 NO_MERGE = 1 << 60
-#: Most chunks that a worker caches (about 40 MB).
-CACHED = 150_000
+#: Most chunks that a worker caches (about 80 MB).
+CACHED = 300_000
 
 
 def default_vocabulary() -> str:
