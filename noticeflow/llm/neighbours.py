@@ -77,17 +77,25 @@ def assign(x: np.ndarray, centres: np.ndarray, sweeps: int, dim: int, codes: np.
     """Codes by coordinate descent on |r|^2 + (eta - 1) (r.u)^2, where r is the residual and u the vector's direction; and r.u."""
     norms = np.sqrt((x * x).sum(axis=1))
     u, weight = x / norms[:, None], eta(dim) - 1
-    m, rows = len(centres), np.arange(len(x))
+    m, rows, squares = len(centres), np.arange(len(x)), (centres * centres).sum(axis=2)
+
+    def apart(s: int) -> np.ndarray:
+        """Squared distances to the centres of a subspace, but for a part's own square."""
+        return squares[s] - 2 * (x[:, 2 * s : 2 * s + 2] @ centres[s].T)
+
     if codes is None:
-        codes = np.stack([((x[:, None, 2 * s : 2 * s + 2] - centres[s]) ** 2).sum(axis=2).argmin(axis=1) for s in range(m)], axis=1)
+        codes = np.stack([apart(s).argmin(axis=1) for s in range(m)], axis=1)
     chosen = centres[np.arange(m), codes].reshape(len(x), -1)
     along = ((x - chosen) * u).sum(axis=1)
     for _ in range(sweeps):
         for s in range(m):
-            part, direction = x[:, None, 2 * s : 2 * s + 2] - centres[s], u[:, None, 2 * s : 2 * s + 2]
-            own = (part * direction).sum(axis=2)
+            direction = u[:, 2 * s : 2 * s + 2]
+            own = (x[:, 2 * s : 2 * s + 2] * direction).sum(axis=1)[:, None] - direction @ centres[s].T
             rest = along - own[rows, codes[:, s]]
-            loss = (part * part).sum(axis=2) + weight * (rest[:, None] + own) ** 2
+            loss = own + rest[:, None]
+            loss *= loss
+            loss *= weight
+            loss += apart(s)
             codes[:, s] = loss.argmin(axis=1)
             along = rest + own[rows, codes[:, s]]
     return codes, along
@@ -212,12 +220,26 @@ class Best:
     def measure(self, at: np.ndarray, found: np.ndarray, names: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Exact distances of queries ``at`` to the rows found for each, which are merged into the best ones."""
         distance = np.sqrt(((x[found] - self.x[at][:, None, :]) ** 2).sum(axis=2))
-        other = names[found] != self.own[at][:, None]
+        self.merge(at, distance, names[found])
+        return distance
+
+    def merge(self, at: np.ndarray, distance: np.ndarray, names: np.ndarray) -> None:
+        """Take rows at these distances among the best ones of queries ``at``."""
+        other = names != self.own[at][:, None]
         near = np.concatenate([self.distance[at], np.where(other, distance, np.inf)], axis=1)
-        which = np.concatenate([self.key[at], np.where(other, names[found], np.iinfo(np.int64).max)], axis=1)
+        which = np.concatenate([self.key[at], np.where(other, names, np.iinfo(np.int64).max)], axis=1)
         first = np.lexsort((which, near), axis=-1)[:, : self.k]
         self.distance[at], self.key[at] = np.take_along_axis(near, first, 1), np.take_along_axis(which, first, 1)
-        return distance
+
+    def measure_pairs(self, at: np.ndarray, rows: np.ndarray, names: np.ndarray, x: np.ndarray) -> None:
+        """Exact distances of queries to one row each; those that may be among a query's best, ties included, are merged."""
+        for start in range(0, len(at), 1 << 14):
+            query, row = at[start : start + (1 << 14)], rows[start : start + (1 << 14)]
+            distance = np.sqrt(((x[row] - self.x[query]) ** 2).sum(axis=1))
+            good = np.flatnonzero(distance <= self.distance[query, -1])
+            own, first = np.unique(query[good], return_index=True)
+            for q, mine in zip(own, np.split(good, first[1:])):
+                self.merge(np.array([q]), distance[mine][None], names[row[mine]][None])
 
     def scan(self, names: np.ndarray, codes: np.ndarray, x: np.ndarray) -> None:
         """Score a block of rows by their codes, rerank the best, and all further rows that the error seen among those can't rule out."""
@@ -228,20 +250,21 @@ class Best:
             if n <= self.rerank:
                 self.measure(at, np.broadcast_to(np.arange(n), (len(at), n)), names, x)
                 continue
-            tables = self.quantiser.tables(self.x[at])
-            score = np.repeat(-half[None], len(at), axis=0)
-            for byte, own in enumerate(codes):
-                score += tables[:, byte][:, own]
+            # The queries' products lie side by side, so that a row's byte reads those of all queries at once.
+            tables = np.ascontiguousarray(self.quantiser.tables(self.x[at]).transpose(1, 2, 0))
+            sums = np.repeat(-half[:, None], len(at), axis=1)
+            part = np.empty_like(sums)
+            for table, own in zip(tables, codes):
+                sums += np.take(table, own, axis=0, out=part, mode="clip")
+            score = np.ascontiguousarray(sums.T)
             found = np.argpartition(-score, self.rerank - 1, axis=1)[:, : self.rerank]
             distance = self.measure(at, found, names, x)
             seen = np.take_along_axis(score, found, 1)
             error = np.abs((self.length[at][:, None] - distance * distance) / 2 - seen).max(axis=1)
             more = score >= ((self.length[at] - self.distance[at, -1] ** 2) / 2 - MARGIN * error)[:, None]
             np.put_along_axis(more, found, False, 1)
-            for i in np.flatnonzero(more.any(axis=1)):
-                rest = np.flatnonzero(more[i])
-                for part in np.array_split(rest, -(-len(rest) // 1024)):
-                    self.measure(at[i : i + 1], part[None], names, x)
+            i, rest = np.nonzero(more)
+            self.measure_pairs(at[i], rest, names, x)
 
     def found(self, key: str) -> pa.RecordBatch:
         good = np.isfinite(self.distance)
