@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from noticeflow.storage import discard, materialise, shared_dir, tasks_for, work_dir  # noqa: F401 - operators take them from here
+from noticeflow.storage import discard, materialise, release_shuffles, shared_dir, tasks_for, work_dir  # noqa: F401 - operators take them from here
 
 #: Rows of a result in one task, where its columns are few and short.
 RESULT_ROWS = 100_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,3 +54,9 @@ def discard(df: DataFrame) -> None:
         if folder.split(":", 1)[-1].lstrip("/").startswith(root + "/"):
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries: it does once the driver's collectors have found that nothing refers to them, which they may not for long."""
+    gc.collect()
+    spark._jvm.System.gc()

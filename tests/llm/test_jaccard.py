@@ -204,3 +204,51 @@ def test_what_a_task_leaves_out_stays_connected(spark, monkeypatch, bits):
 
     (few, one), (many, scattered) = found(1), found(200)
     assert one == scattered and (bits == 2 or few < 0.8 * many)
+
+
+def copied_table(rng, n, words=60):
+    """n near copies of one text, each of them with a few edits of its own, and as many other texts."""
+    base = [f"w{i}" for i in range(words)]
+    texts = [edited(base, rng, rng.randrange(3)) for _ in range(n)] + [" ".join(f"z{rng.random()}" for _ in range(20)) for _ in range(n)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("sent,edges", [(1 << 22, 1 << 17), (1500, 40)])
+def test_blocks_meet_once_however_few_are_sent(docs_of, monkeypatch, sent, edges):
+    monkeypatch.setattr(jaccard, "BLOCK", 400)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard, "SENT", sent)
+    monkeypatch.setattr(jaccard, "EDGES", edges)
+    texts = copied_table(random.Random(11), 90)
+    assert found(docs_of(texts)) == brute(list(enumerate(texts)))
+
+
+def test_no_shuffle_grows_with_pairs_of_blocks(docs_of, monkeypatch):
+    """Each set of a class travels once to where it is verified, however many blocks the class has."""
+    monkeypatch.setattr(jaccard, "BLOCK", 400)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    seen, plain = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda sets: seen.append((sets.count(), sets.select("sid").distinct().count())) or plain(sets))
+    texts = copied_table(random.Random(12), 60)
+    assert found(docs_of(texts)) == brute(list(enumerate(texts)))
+    (rows, sets), = seen
+    assert rows == sets > 5 * jaccard.BLOCK_SETS
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_texts_that_no_class_wants_are_not_shuffled(spark, docs_of, monkeypatch, ids):
+    monkeypatch.setattr(jaccard, "BROADCAST_BYTES", 0)
+    texts = copied_table(random.Random(13), 40)
+    docs = docs_of(texts)
+    if not ids:  # a chain that only rows without id hold
+        docs = docs.selectExpr("if(doc_id < 0, doc_id, null) doc_id", "text")
+        got = sorted((r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(docs).collect())
+        assert got == sorted((n, None, d) for n, _, d in brute(list(enumerate(texts))).values())
+        return
+    assert found(docs) == brute(list(enumerate(texts)))
+    wanted = docs.where("doc_id % 10 = 3").select("doc_id")
+    rows = jaccard.may_be_in(docs, wanted, "doc_id")
+    assert rows.columns == docs.columns and [r.doc_id for r in rows.orderBy("doc_id").collect()] == [r.doc_id for r in wanted.orderBy("doc_id").collect()]
+    plan = jaccard.texts_of(docs, wanted, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bits" in plan
