@@ -6,7 +6,9 @@ Entities are decoded by an Arrow UDF, as Spark has no expression for it; all els
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +29,17 @@ def unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
 
 
+#: Character references that a semicolon closes.
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][0-9A-Za-z]*);")
+
+
+@F.pandas_udf(T.StringType())
+def unescape_closed(texts: pd.Series) -> pd.Series:
+    """As unescape(), but a reference that no semicolon closes (a cut '&amp', say) stays as it is written."""
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return texts.map(lambda t: REFERENCE.sub(one, t) if t and "&" in t else t)
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """A function of a value that is computed once a row, however often the function uses it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -50,9 +63,9 @@ def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def strip_tags_inline(c: Column) -> Column:
+def strip_tags_inline(c: Column, decode: Callable[[Column], Column] = unescape) -> Column:
     """Tags as spaces, entities decoded, white space squeezed."""
-    return squeeze(unescape(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")))
+    return squeeze(decode(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]+>", " ")))
 
 
 def tags_to_lines(c: Column) -> Column:

@@ -6,9 +6,12 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from noticeflow import catalogue
 from noticeflow.functions import identity, links, pages, text, urls
 from noticeflow.sources import attachments as A
 
+from .oracle import connect, same
+
 
 @pytest.fixture(scope="module")
 def apply(spark):
@@ -25,6 +28,14 @@ def test_cleaning(apply):
     assert apply(text.strip_tags_lines, "<style>x</style><p>a</p>\n \n<p>b</p><script>var t='</p>';</script>") == ["\na\nb\n"]
 
 
+def test_cut_entities_stay_where_only_closed_ones_count(apply, spark, tmp_path):
+    assert apply(lambda c: text.strip_tags_inline(c, text.unescape_closed), "a &amp b&amp;c &notit; &am<p> &#40;&quot;", None) == ['a &amp b&c &notit; &am ("', ""]
+    spark.createDataFrame([(1, "<p>x &amp</p> y &amp; &copy;"), (2, "&amp;quot; &am")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = connect(tmp_path)
+    con.execute(f"create or replace view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert same(spark, con, str(tmp_path), catalogue.queries()["page_entities_decoded"], catalogue.oracle_sql()["page_entities_decoded"]) == 2
+
+
 def test_dates_and_periods(apply):
     assert apply(text.norm_date, "2026.7.1", "2026-07-10 18:00", "26/7/1", " 상시 ", "2026 07 10", None) == ["2026-07-01", "2026-07-10", "2026-07-01", "상시", "2026-07-10", ""]
     assert [tuple(r) for r in apply(text.split_period, "2026.7.1 ~ 2026.8.1", "2026-07-01∼2026-07-02", "상시", "a~b~c")] == [("2026-07-01", "2026-08-01"), ("2026-07-01", "2026-07-02"), ("", "상시"), ("", "a~b~c")]
