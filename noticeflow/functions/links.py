@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from urllib.parse import unquote_plus
 
 import pandas as pd
@@ -18,8 +19,10 @@ LINKS = T.ArrayType(struct(**texts("url", "filename")))
 FANFAN_LINK = re.compile(r'https://fanfandaero\.kr/download\.do\?fileName=[^"&\\\s]+')
 FANFAN_NAME = re.compile(r'fileName=([^"&]+)[^"]*"\s*,\s*"\d+"\s*,\s*"([^"]+)"')
 SSB_LINK = re.compile(r"common\.download\(\s*\d+\s*,\s*'([a-f0-9-]+)'")
-SSB_IN_SPAN = r"""common\.download\(\s*\d+\s*,\s*'%s'\)"[^>]*>\s*<span[^>]*>([^<]+)"""
-SSB_AFTER_ICON = r"""common\.download\(\s*\d+\s*,\s*'%s'\)"[^>]*>[\s\S]*?alt=""\s*>\s*([^<]+)"""
+SSB_TAG_END = re.compile(r"""\)"[^>]*>""")
+SSB_SPAN = re.compile(r"\s*<span[^>]*>([^<]+)")
+SSB_ICON = re.compile(r'alt=""\s*>(?=[^<])')
+SSB_TEXT = re.compile(r"\s*([^<]+)")
 SSB_FILE = "https://www.seoulshinbo.co.kr/download/{post}/{serial}.do?mng_cd=STRY9788"
 
 
@@ -39,11 +42,25 @@ def fanfan_links(page: str) -> list[tuple[str, str]]:
 
 
 def ssb_links(page: str, post: str) -> list[tuple[str, str]]:
-    """Files in order of appearance, once each, named by the text beside the link or else by their serial."""
+    """Files in order of appearance, once each, named by the text beside the link or else by their serial.
+
+    The text is that of the span that one of the serial's calls begins, else what follows the next icon after the first call that ends its tag.
+    """
+    spans, ends = {}, {}
+    for call in SSB_LINK.finditer(page):
+        serial = call[1]
+        spans.setdefault(serial, None)
+        if spans[serial] is None and (end := SSB_TAG_END.match(page, call.end())):
+            ends.setdefault(serial, end.end())
+            span = SSB_SPAN.match(page, end.end())
+            spans[serial] = span and span[1]
+    icons = list(SSB_ICON.finditer(page)) if None in spans.values() else []
+    starts = [icon.start() for icon in icons]
     out = []
-    for serial in dict.fromkeys(SSB_LINK.findall(page)):
-        named = re.search(SSB_IN_SPAN % re.escape(serial), page) or re.search(SSB_AFTER_ICON % re.escape(serial), page)
-        out.append((SSB_FILE.format(post=post, serial=serial), unquote_plus(tidy(named[1])) if named else serial))
+    for serial, name in spans.items():
+        if name is None and serial in ends and (i := bisect_left(starts, ends[serial])) < len(icons):
+            name = SSB_TEXT.match(page, icons[i].end())[1]
+        out.append((SSB_FILE.format(post=post, serial=serial), serial if name is None else unquote_plus(tidy(name))))
     return out
 
 

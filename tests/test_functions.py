@@ -1,5 +1,7 @@
 import hashlib
 import io
+import random
+import re
 import struct
 import zipfile
 
@@ -215,6 +217,29 @@ def test_board_links(apply):
     assert [[x.filename for x in r] for r in got] == [["붙임 1.hwp", "둘.pdf"], []] and got[0][0].url.endswith("/download/12/ab-1.do?mng_cd=STRY9788")
 
 
+def test_links_of_the_doubled_board_need_no_pattern_of_their_own(monkeypatch):
+    """Names are those that a search for each serial gives, by patterns that are compiled once."""
+    call, text_ = r"""common\.download\(\s*\d+\s*,\s*'%s'\)"[^>]*>""", r"\s*([^<]+)"
+    bits = ["common.download(1, 'ab-1'", "common.download( 7 ,'c'", ")\"", ")\" class=\"b\"", ">", "<span>", "x+y", " \n", '<img alt="">', 'alt="" >', "<", "&amp;", "'"]
+    rng = random.Random(1)
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 20))) for _ in range(2000)]
+    made += [f"<a onclick=\"common.download(1, 'ab-{i:x}')\"><span>n{i}</span>" for i in range(3)]
+    want = []
+    for page in made:
+        found = [(s, re.search(call % s + r"\s*<span[^>]*>([^<]+)", page) or re.search(call % s + r'[\s\S]*?alt=""\s*>' + text_, page)) for s in dict.fromkeys(links.SSB_LINK.findall(page))]
+        want.append([(links.SSB_FILE.format(post="9", serial=s), links.unquote_plus(links.tidy(m[1])) if m else s) for s, m in found])
+    monkeypatch.setattr(links.re, "search", None)
+    assert [links.ssb_links(page, "9") for page in made] == want
+
+
+def test_plain_pages_are_read_as_the_parser_reads_them():
+    bits = ['<link rel="canonical" href="/bbs/view/07.do">', '<LINK href="/view/8.do" REL="Canonical" />', "<link rel='canonical' href='/view/3.do'>", "<!-- ", "-->", "<script>", "</script>", "<br/>", '<a title="x > y">', "<", '"', "text", '<link rel="canonical" href="/view/&#49;2.do">']
+    rng = random.Random(1)
+    pages_ = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 5))) for _ in range(3000)]
+    assert all(identity.page_ids(p, "seoulshinbo") == sorted(map(str, identity.marks(p).views)) for p in pages_)
+    assert identity.plain_views(bits[0] + bits[1]) == {7, 8} and identity.plain_views(bits[3] + bits[0] + bits[4]) is None
+
+
 def test_stored_names_never_take_the_place_of_another(spark):
     rows = [("d", "a.pdf", "h1", 1), ("d", "a.pdf", "h2", 2), ("d", "a-1.pdf", "h3", 3), ("d", "a-1.pdf", "h2", 4), ("d", "a.pdf", "h3", 5), ("d", "a.pdf", "h1", 6), (None, "a.pdf", "h9", 1), ("d", None, "h4", 7), ("d", "attach", "h5", 8), ("d", "x", None, 9)]
     df = spark.createDataFrame(rows, "folder string, name string, digest string, at int")
