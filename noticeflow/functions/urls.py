@@ -1,4 +1,4 @@
-"""Addresses and file names. Host tests are expressions; what needs strict percent-decoding or byte repair is an Arrow UDF."""
+"""Addresses and file names. Host tests are expressions; what needs percent-decoding is an Arrow UDF."""
 
 from __future__ import annotations
 
@@ -90,20 +90,19 @@ def robots_allowed(url: Column, prefixes: Sequence[str]) -> Column:
     return test(url)
 
 
-def repaired(name: str | None) -> str | None:
-    """UTF-8 that was read as Latin-1, and percent-encoding, undone."""
-    if name is None:
-        return None
-    try:
-        name = name.encode("latin-1").decode("utf-8")
-    except UnicodeError:
-        pass  # it wasn't misread
-    return unquote(name) if "%" in name else name
+@F.pandas_udf(T.StringType())
+def unquoted(names: pd.Series) -> pd.Series:
+    """Percent-encoding undone; nulls stay."""
+    return names.map(lambda n: n if n is None else unquote(n))
 
 
-@F.pandas_udf(T.StringType())
-def fix_mojibake(names: pd.Series) -> pd.Series:
-    return names.map(repaired)
+def fix_mojibake(name: Column) -> Column:
+    """UTF-8 that was read as Latin-1, and percent-encoding, undone. Only texts with a percent sign are sent to Python."""
+
+    read = F.encode(name, "ISO-8859-1").cast("string")
+    repaired = F.when(F.is_valid_utf8(read), read).otherwise(name)
+    whole = F.when(F.length(name) == F.octet_length(name), name).when(name.rlike(r"^[\x00-\xff]*\z"), repaired).otherwise(name)
+    return F.coalesce(unquoted(F.when(whole.contains("%"), whole)), whole)
 
 
 def base_name(name: Column) -> Column:

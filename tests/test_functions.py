@@ -98,6 +98,24 @@ def test_names(apply, spark):
     assert apply(lambda c: urls.redact(c, "k+/="), "x k+/= k%2B/%3D k%2B%2F%3D") == ["x [REDACTED] k%2B/%3D [REDACTED]"]
 
 
+def test_texts_without_percent_signs_are_repaired_without_python(apply, spark, capsys):
+    """As Python does it, for bytes that are and aren't UTF-8; texts go to Python only where there is a percent sign."""
+
+    def plain(name):
+        try:
+            name = name.encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            pass
+        return urls.unquote(name) if "%" in name else name
+
+    parts = ["a", "é", "공", *(x.encode().decode("latin-1") for x in ("공", "é", "😀")), "%EA%B3%B5", "%zz", "\n", "\xff", "\xed\xa0\x80", "\xc0\xaf", "\xf4\x90\x80\x80", "😀", "Ā", "\xc2\x85"]
+    rng = random.Random(1)
+    names = ["", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(2000))]
+    assert apply(urls.fix_mojibake, *names) == list(map(plain, names))
+    spark.range(1).select(urls.fix_mojibake(F.col("id").cast("string"))).explain()
+    assert re.search(r"ArrowEvalPython \[unquoted\(CASE WHEN Contains", capsys.readouterr().out)
+
+
 def test_bodies(apply):
     page = '<div id="menu">m</div><div class="a view_cont"><p>본문</p>5<div class="btn_area">b</div><footer>f</footer>'
     assert apply(pages.portal_body, page, "<p>all</p>") == ["\n본문\n5\n".replace("\n5\n", "\n5"), "\nall\n"]
