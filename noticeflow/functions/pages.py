@@ -83,7 +83,7 @@ def hrefs(c: Column) -> Column:
 
 def title_of(c: Column) -> Column:
     """A page's title, white space squeezed; empty without one."""
-    return X.squeeze(F.regexp_extract(c, r"<title[^>]*>([\s\S]*?)</title>", 1))
+    return X.squeeze(F.regexp_extract(c, r"(?s)<title[^>]*>(.*?)</title>", 1))
 
 
 def portal_links(c: Column, base: str) -> Column:

@@ -70,7 +70,7 @@ def strip_tags_inline(c: Column, decode: Callable[[Column], Column] = unescape)
 
 def tags_to_lines(c: Column) -> Column:
     """Scripts and styles dropped and other tags as line ends, before entities are decoded."""
-    return F.regexp_replace(F.regexp_replace(c, r"<script[\s\S]*?</script>|<style[\s\S]*?</style>", ""), "<[^>]+>", "\n")
+    return F.regexp_replace(F.regexp_replace(c, r"(?s)<script.*?</script>|<style.*?</style>", ""), "<[^>]+>", "\n")
 
 
 #: Fixed value: what stands between two line ends that become one.

@@ -47,11 +47,11 @@ def json_pages(spark: SparkSession, pages: DataFrame | str, schema) -> DataFrame
     return L.read_json_pages(spark, pages, schema) if isinstance(pages, str) else pages
 
 
-def html_pages(spark: SparkSession, pages: DataFrame | str) -> tuple[DataFrame, bool]:
-    """Pages up to the first that withholds its content, and whether there is one: what follows it was never asked for."""
+def html_pages(spark: SparkSession, pages: DataFrame | str) -> tuple[DataFrame, bool, int | None]:
+    """Pages up to the first that withholds its content, whether there is one (what follows it was never asked for), and the number of the first page."""
     pages = L.read_html_pages(spark, pages) if isinstance(pages, str) else pages
-    first = pages.where(X.blocked_page(F.col("body"))).agg(F.min("page")).first()[0]
-    return (pages, False) if first is None else (pages.where(F.col("page") < F.lit(first)), True)
+    found = pages.agg(F.min(F.when(X.blocked_page(F.col("body")), F.col("page"))).alias("blocked"), F.min("page").alias("first")).first()
+    return (pages, False, found.first) if found.blocked is None else (pages.where(F.col("page") < F.lit(found.blocked)), True, found.first)
 
 
 def first_page_rows(pages: DataFrame, rows: DataFrame) -> int:
@@ -86,8 +86,9 @@ def sbiz_all(spark: SparkSession, pbanc: DataFrame | str, combine: DataFrame | s
 
 def bizinfo(spark: SparkSession, path: DataFrame | str, as_of: Column, crawled_at: Column, max_pages: int | None = None) -> Listing:
     """The portal's table: repeated rows keep the last values, and pages count up to the first without a new row."""
-    pages, blocked = html_pages(spark, path)
-    first = pages.select("page", P.last_page(F.col("body")).alias("last"), P.announced_total(F.col("body")).alias("total")).agg(F.min_by(F.struct("last", "total"), "page").alias("f")).first().f
+    pages, blocked, first_page = html_pages(spark, path)  # only the first page is searched for counts
+    counts_of = pages.where(F.col("page") == F.lit(first_page)).select("page", P.last_page(F.col("body")).alias("last"), P.announced_total(F.col("body")).alias("total"))
+    first = counts_of.agg(F.min_by(F.struct("last", "total"), "page").alias("f")).first().f
     rows = materialise(L.bizinfo_notices(pages, as_of, crawled_at), "rows")
     cap = min(first.last, max_pages) if max_pages and first else max_pages
     kept = paging.until_stop(rows, ["source_id"], max_pages=cap)
@@ -105,7 +106,7 @@ def fanfan(spark: SparkSession, programmes: DataFrame | str, board: DataFrame |
     first_page = yearly.agg(F.min("page")).first()[0]
     own = dedup.keep_last(yearly.where(F.col("page") == F.lit(first_page)), KEY, ORDER)
     years = dedup.keep_first(own.unionByName(yearly.where(F.col("page") > F.lit(first_page))), KEY, ORDER)
-    pages, blocked = html_pages(spark, board)
+    pages, blocked, _ = html_pages(spark, board)
     posts = materialise(L.fanfan_board(pages, crawled_at), "posts")
     kept = dedup.keep_first(paging.until_stop(posts, ["source_id"], F.col("raw")["posted"], since, max_pages), KEY, ORDER)
     total = pages.agg(F.min_by(P.board_total(F.col("body")), "page")).first()[0]
@@ -115,7 +116,7 @@ def fanfan(spark: SparkSession, programmes: DataFrame | str, board: DataFrame |
 
 
 def ssb(spark: SparkSession, board: DataFrame | str, crawled_at: Column, since: str | None = None, max_pages: int | None = None, expected: int = 10) -> Listing:
-    pages, blocked = html_pages(spark, board)
+    pages, blocked, _ = html_pages(spark, board)
     posts = materialise(L.ssb_board(pages, crawled_at), "posts")
     kept = paging.until_stop(posts, ["source_id"], F.col("raw")["posted"], since, max_pages)
     facts = paging.page_facts(kept, ["source_id"])

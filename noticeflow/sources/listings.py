@@ -41,11 +41,12 @@ FIELD_KEYS = {
     "field": ("서비스분야",),
 }
 
-#: Rows of the portal's table, links in them, and posts of the two boards.
-PORTAL_ROW = r"<tr>[\s\S]*?</tr>"
-PORTAL_LINK = r'href\s*=\s*"([^"]*pblancId=(PBLN_\d+)[^"]*)"[^>]*>\s*([\s\S]*?)</a>'
-FANFAN_POST = r"""detailPage\('(\d+)'\);?"[^>]*class="title"[^>]*>([\s\S]*?)</a>[\s\S]*?<span class="date">([^<]*)</span>"""
-SSB_POST = r"""goView\('\d+',\s*'(\d+)'\)"><span class="ellipsis">([\s\S]*?)</span></a></td>([\s\S]*?)</tr>"""
+#: Rows of the portal's table, links in them, posts of the two boards, and cells. A dot that stands for line ends too is matched much faster than [\s\S].
+PORTAL_ROW = r"(?s)<tr>.*?</tr>"
+PORTAL_LINK = r'(?s)href\s*=\s*"([^"]*pblancId=(PBLN_\d+)[^"]*)"[^>]*>\s*(.*?)</a>'
+FANFAN_POST = r"""(?s)detailPage\('(\d+)'\);?"[^>]*class="title"[^>]*>(.*?)</a>.*?<span class="date">([^<]*)</span>"""
+SSB_POST = r"""(?s)goView\('\d+',\s*'(\d+)'\)"><span class="ellipsis">(.*?)</span></a></td>(.*?)</tr>"""
+CELL = r"(?s)<td[^>]*>(.*?)</td>"
 
 
 def page_number() -> Column:
@@ -137,7 +138,7 @@ def sbiz_files(pages: DataFrame, source_id: str) -> DataFrame:
 
 def cells_of(row: Column) -> Column:
     """Cleaned cells of a table row."""
-    raw = F.regexp_extract_all(row, F.lit(r"<td[^>]*>([\s\S]*?)</td>"), 1)
+    raw = F.regexp_extract_all(row, F.lit(CELL), 1)
     text = F.array_join(F.transform(raw, lambda c: X.squeeze(F.regexp_replace(c, "<[^>]+>", " "))), "\u0000")
     return F.transform(F.split(X.unescape(text), "\u0000"), X.squeeze)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from noticeflow import catalogue
 from noticeflow.functions import identity, links, pages, text, urls
 from noticeflow.sources import attachments as A
+from noticeflow.sources import listings
 
 from .oracle import connect, same
 
@@ -258,6 +259,15 @@ def test_plain_pages_are_read_as_the_parser_reads_them():
     assert identity.plain_views(bits[0] + bits[1]) == {7, 8} and identity.plain_views(bits[3] + bits[0] + bits[4]) is None
 
 
+def test_listing_patterns_match_across_lines_by_dots(apply):
+    """As the slow class of all characters would."""
+    page = '<tr>\n<td>1\u2028</td><td x>\r\n a</td><td><a href = "/v?pblancId=PBLN_7&m" class="l">\n n\r\u0085m </a></td></tr><tr>x</tr>'
+    for pattern, group in ((listings.PORTAL_ROW, 0), (listings.PORTAL_LINK, 3), (listings.CELL, 1)):
+        slow = pattern.replace("(?s)", "").replace(".*?", r"[\s\S]*?")
+        assert "(?s)" in pattern and apply(lambda c: F.regexp_extract_all(c, F.lit(pattern), group), page) == apply(lambda c: F.regexp_extract_all(c, F.lit(slow), group), page) != [[]]
+    assert not any(r"[\s\S]" in p for p in (listings.PORTAL_ROW, listings.PORTAL_LINK, listings.CELL, listings.FANFAN_POST, listings.SSB_POST))
+
+
 def test_stored_names_never_take_the_place_of_another(spark):
     rows = [("d", "a.pdf", "h1", 1), ("d", "a.pdf", "h2", 2), ("d", "a-1.pdf", "h3", 3), ("d", "a-1.pdf", "h2", 4), ("d", "a.pdf", "h3", 5), ("d", "a.pdf", "h1", 6), (None, "a.pdf", "h9", 1), ("d", None, "h4", 7), ("d", "attach", "h5", 8), ("d", "x", None, 9)]
     df = spark.createDataFrame(rows, "folder string, name string, digest string, at int")
