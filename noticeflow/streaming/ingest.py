@@ -9,9 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from noticeflow.operators import dedup
 from noticeflow.schema import ANNOUNCEMENT
+from noticeflow.storage import tasks_for
 
 #: Parts of the table of upsert(), by a hash of the key.
 BUCKETS = 64
+#: Rows of a batch that a task of upsert() sorts: a batch isn't planned anew by its sizes, so the number of its tasks must follow its rows.
+TASK_ROWS = 250_000
 
 
 def announcements(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -52,6 +55,8 @@ def upsert(stream: DataFrame, base: str, checkpoint: str, buckets: int = BUCKETS
         if number:
             touched = rows.select("bucket").distinct()
             rows = rows.unionByName(current(spark, base, batch.schema, number, touched).withColumn("bucket", F.pmod(F.xxhash64("source", "source_id"), F.lit(buckets)).cast("int")))
+        tasks = max(tasks_for(rows.count(), TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.repartition(tasks, "source", "source_id")
         kept = dedup.keep_last(rows.withColumn("seen", F.coalesce("crawled_at", F.lit(""))), ["source", "source_id"], ["landed", "seen"]).drop("seen")
         kept.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/batch={number}")
 

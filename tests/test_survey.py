@@ -338,6 +338,18 @@ def test_streams(record, spark, tmp_path):
     assert days.isStreaming and "EventTimeWatermark" in days._jdf.queryExecution().analyzed().toString()
 
 
+def test_tasks_of_a_batch_follow_its_rows(spark, tmp_path, monkeypatch):
+    rows = [f'{{"source": "s", "source_id": "{i % 90}", "title": "t{i}", "crawled_at": "{i:03}"}}' for i in range(120)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text("\n".join(rows))
+    monkeypatch.setattr(ingest, "TASK_ROWS", 6)
+    stream = ingest.announcements(spark, str(tmp_path / "in"))
+    ingest.upsert(stream, str(tmp_path / "out"), str(tmp_path / "offsets"), 1).awaitTermination()
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) > 4
+    got = {r.source_id: r.title for r in ingest.current(spark, str(tmp_path / "out"), stream.schema).collect()}
+    assert got == {str(i % 90): f"t{i}" for i in range(120)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (7, 8), (9, 9)] + [(100, i) for i in range(101, 130)] + [(i, i + 1) for i in range(200, 260)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
