@@ -338,6 +338,13 @@ def test_streams(record, spark, tmp_path):
     assert days.isStreaming and "EventTimeWatermark" in days._jdf.queryExecution().analyzed().toString()
 
 
+def test_first_and_withheld_pages_are_found_together(spark):
+    pages = spark.createDataFrame([(3, "x"), (5, "captcha"), (4, "y"), (7, "captcha")], "page int, body string")
+    kept, blocked, first = survey.html_pages(spark, pages)
+    assert (sorted(r.page for r in kept.collect()), blocked, first) == ([3, 4], True, 3)
+    assert survey.html_pages(spark, pages.where("page < 5"))[1:] == (False, 3) and survey.html_pages(spark, pages.where("page < 0"))[1:] == (False, None)
+
+
 def test_tasks_of_a_batch_follow_its_rows(spark, tmp_path, monkeypatch):
     rows = [f'{{"source": "s", "source_id": "{i % 90}", "title": "t{i}", "crawled_at": "{i:03}"}}' for i in range(120)]
     (tmp_path / "in").mkdir()
